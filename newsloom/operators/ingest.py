@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,22 +158,20 @@ def template_bodies(pages: DataFrame) -> DataFrame:
     of their template give no row.
     """
 
+    names = BODY_ROW.names
+
     def extract(batches):
         for batch in batches:
-            found = [read_template(h, r) for h, r in zip(batch["html"], batch["route"])]
-            kept = [i for i, hit in enumerate(found) if hit is not None]
-            yield pd.DataFrame(
-                {
-                    "article_hash": batch["article_hash"].iloc[kept].to_numpy(),
-                    "article_body": [found[i][0] for i in kept],
-                    "raw_content": [found[i][1] for i in kept],
-                }
-            )
+            rows = zip(*(batch.column(c).to_pylist() for c in ("article_hash", "html", "route")))
+            read = [(key, read_template(page, route)) for key, page, route in rows]
+            kept = [(key, *found) for key, found in read if found is not None]
+            columns = [pa.array([row[i] for row in kept], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     routed = spread(pages.filter("html is not null")).select(
         "article_hash", "html", template_route(F.col("article_link")).alias("route")
     )
-    return routed.mapInPandas(extract, BODY_ROW)
+    return routed.mapInArrow(extract, BODY_ROW)
 
 
 def page_parts(pages: DataFrame, html: str = "html", root: str = "article") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,7 @@ def model_summaries(chunks: Column, load_model: Callable[[], TextModel]) -> Colu
     """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def score(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for batch in batches:
             sizes = [0 if c is None else len(c) for c in batch]

@@ -106,7 +106,9 @@ def append_new_articles(spark, sf):
     old = D.before(I.latest(rows, "publish_date"), 6)
     sinks.append_rows(rows.filter(F.col("publish_date") <= old), path)
     stored = spark.read.parquet(path)
-    new = I.newer_than(rows, I.latest(stored, "publish_date"), "publish_date")
+    start = D.before(I.latest(rows, "publish_date"), 24)
+    last = F.coalesce(I.latest(stored, "publish_date"), start)
+    new = I.newer_than(rows, last, "publish_date")
     sinks.append_rows(new, path)
     return spark.read.parquet(path)
 
@@ -617,7 +619,8 @@ def rouge_gap(spark, sf):
 
 @query
 def rouge_round_delta(spark, sf):
-    return _rounded(L.round_changes(_means(spark, sf), ["doc_id"]), ["value", "change"])
+    rows = _rounded(L.round_changes(_means(spark, sf), ["doc_id"]), ["value", "change"])
+    return rows.withColumn("change", F.col("change") + 0.0)  # no negative zero
 
 
 # -- words ----------------------------------------------------------------

@@ -25,9 +25,14 @@ CSV_OPTIONS = {
 def read_articles_csv(
     spark: SparkSession, path: str, schema: T.StructType = S.LISTING_EXPORT
 ) -> DataFrame:
-    """Listing export. Cells may hold line breaks, so a file is one split: write
-    many files (the sink does) rather than one large one."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)
+    """Listing export.
+
+    Cells may hold line breaks, so a file is one split: write many files (the
+    sink does) rather than one large one. The mark for NULL is a character no
+    cell holds: an empty cell gets it from the parser, "" stays an empty text.
+    """
+    options = {**CSV_OPTIONS, "multiLine": "true", "nullValue": "\0"}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_records_json(
