@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import let
+
 # Spanish month names in calendar order.
 SPANISH_MONTHS = (
     "enero", "febrero", "marzo", "abril", "mayo", "junio",
@@ -18,19 +20,8 @@ SPANISH_WEEKDAYS = (
     "lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo",
 )
 
-# Formats tried in turn for free-form dates.
-FREE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "dd/MM/yyyy HH:mm",
-    "dd-MM-yyyy HH:mm",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy",
-)
-
-_SPANISH_DATE = r"(\d{1,2}) (\p{L}+),? (\d{4}),? (\d{1,2}):(\d{2})"
+_SPANISH_DATE = r"^\D*(\d{1,2}) (\p{L}+),? (\d{4}),? (\d{1,2}):(\d{2})$"
+_DAY_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
 _ZONE = r"\s*(?:Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -49,12 +40,19 @@ def spanish_date(text: Column) -> Column:
     Empty and unparsable texts give NULL.
     """
     flat = F.lower(F.replace(F.btrim(text), F.lit(" | "), F.lit(" ")))
-    group = lambda i: F.regexp_extract(flat, _SPANISH_DATE, i)
+    fields = F.split(F.regexp_replace(flat, _SPANISH_DATE, "$3,$2,$1,$4,$5"), ",")
     months = F.array(*[F.lit(m) for m in SPANISH_MONTHS])
-    month = F.array_position(months, group(2))
-    iso = F.format_string("%s-%02d-%s %s:%s:00", group(3), month, F.lpad(group(1), 2, "0"),
-                          F.lpad(group(4), 2, "0"), group(5))
-    return F.when(month > 0, iso.try_cast("timestamp_ntz"))
+
+    def moment(f: Column) -> Column:
+        two = lambda i: F.lpad(F.get(f, F.lit(i)), 2, "0")
+        month = F.array_position(months, F.get(f, F.lit(1)))
+        iso = F.concat(
+            F.get(f, F.lit(0)), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), two(2),
+            F.lit(" "), two(3), F.lit(":"), two(4),
+        )
+        return F.when((F.size(f) == 5) & (month > 0), iso.try_cast("timestamp_ntz"))
+
+    return let(fields, moment)
 
 
 def spanish_text(moment: Column) -> Column:
@@ -79,11 +77,15 @@ def drop_zone(text: Column) -> Column:
     return F.regexp_replace(text, _ZONE, "")
 
 
-def free_date(text: Column, formats=FREE_FORMATS) -> Column:
-    """First format that fits, else the Spanish long form, else NULL."""
+def free_date(text: Column) -> Column:
+    """Year-first or day-first numbers, else the Spanish long form, else NULL.
+
+    The time is optional. Day-first dates are put in year-first order, so that
+    one cast reads both and no format is tried in vain.
+    """
     bare = drop_zone(F.btrim(text))
-    tries = [F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries, spanish_date(bare))
+    ordered = F.regexp_replace(bare, _DAY_FIRST, "$3-$2-$1")
+    return F.coalesce(ordered.try_cast("timestamp_ntz"), spanish_date(bare))
 
 
 def iso_or_null(moment: Column) -> Column:

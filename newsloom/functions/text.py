@@ -11,8 +11,10 @@ WHITESPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Fixed value: everything but Latin letters, Spanish accents and whitespace.
-NOT_LETTERS = f"[^a-zA-ZáéíóúÁÉÍÓÚñÑ{WHITESPACE}]"
+# Fixed value: everything but Latin letters, Spanish accents and whitespace of
+# every kind. The Unicode flag also makes the class several times faster.
+NOT_LETTERS = r"(?U)[^a-zA-ZáéíóúÁÉÍÓÚñÑ\s\x1c-\x1f]"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 # Ordered place-name rules (trigger, find, replacement).
 PLACE_NAME_RULES = (
@@ -27,7 +29,11 @@ _STRINGS = "array<string>"
 
 
 def let(value: Column, body) -> Column:
-    """Bind `value` once for use in several places of `body`."""
+    """Bind `value` once for use in several places of `body`, or inside a lambda.
+
+    A lambda computes an outside expression anew for every element; a bound
+    value is computed once per row.
+    """
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -95,13 +101,19 @@ def fixed_chunks(parts: Column, per_group: Column) -> Column:
 
     A tail of at most half a group is dropped. Empty where `per_group` is 0.
     """
-    empty = F.array().cast(_STRINGS)
-    groups = F.ceil(F.size(parts) / per_group - 0.5).cast("int")
-    joined = F.transform(
-        F.sequence(F.lit(0), groups - 1),
-        lambda i: F.array_join(F.slice(parts, i * per_group + 1, per_group), ". "),
-    )
-    return F.when(parts.isNull(), None).when((per_group > 0) & (groups > 0), joined).otherwise(empty)
+    def grouped(items: Column) -> Column:
+        groups = F.ceil(F.size(items) / per_group - 0.5).cast("int")
+        joined = F.transform(
+            F.sequence(F.lit(0), groups - 1),
+            lambda i: F.array_join(F.slice(items, i * per_group + 1, per_group), ". "),
+        )
+        return (
+            F.when(items.isNull(), None)
+            .when((per_group > 0) & (groups > 0), joined)
+            .otherwise(F.array().cast(_STRINGS))
+        )
+
+    return let(parts, grouped)
 
 
 def group_size(body: Column, chars: int = CHUNK_CHARS) -> Column:
@@ -111,16 +123,20 @@ def group_size(body: Column, chars: int = CHUNK_CHARS) -> Column:
 
 def pair_chunks(parts: Column) -> Column:
     """Join neighbours two by two; an odd last one stays alone."""
-    last = F.floor((F.size(parts) - 1) / 2).cast("int")
-    joined = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice(parts, i * 2 + 1, 2), ". "),
-    )
-    return (
-        F.when(parts.isNull(), None)
-        .when(F.size(parts) > 0, joined)
-        .otherwise(F.array().cast(_STRINGS))
-    )
+
+    def paired(items: Column) -> Column:
+        last = F.floor((F.size(items) - 1) / 2).cast("int")
+        joined = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(items, i * 2 + 1, 2), ". "),
+        )
+        return (
+            F.when(items.isNull(), None)
+            .when(F.size(items) > 0, joined)
+            .otherwise(F.array().cast(_STRINGS))
+        )
+
+    return let(parts, paired)
 
 
 def close_chunks(chunks: Column) -> Column:
@@ -148,7 +164,7 @@ def place_names(text: Column, rules=PLACE_NAME_RULES) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words of a letters-only text."""
-    return F.filter(F.split(strip(text), r"\s+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(text, SPACES), lambda w: F.length(w) > 0)
 
 
 def drop_stop_words(text: Column, stop_words: list[str]) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.arrays import exploded, pos_exploded
 from newsloom.functions.rouge import mean_metric, tokens
 from newsloom.functions.scoring import metric
-from newsloom.session import spread
+from newsloom.functions.text import text_or_empty
 
 # (result column, metric, field)
 MEANS = (
@@ -24,29 +24,32 @@ MEANS = (
 def rouge1(pairs: DataFrame, key: list[str], reference: str, summary: str) -> DataFrame:
     """Unstemmed ROUGE-1 of text pairs, as bag counts.
 
-    Tokens of both texts are counted per pair and token in one aggregation, so
-    the work grows with the text and not with its square. Pairs whose texts are
-    both empty of tokens score 0.
+    The pairs are dealt by key while they are compact texts; both token counts
+    and their sums then stay in place, so the tokens themselves are never
+    shuffled and the work grows with the text and not with its square. Pairs
+    whose texts are both empty of tokens score 0.
     """
-    texts = spread(pairs.select(*key, reference, summary))
 
-    def side(column: str, r: int, h: int) -> DataFrame:
-        rows = exploded(texts, key, tokens(F.col(column)), "token")
-        return rows.select("*", F.lit(r).alias("r"), F.lit(h).alias("h"))
+    def marked(column: str, r: int, h: int) -> Column:
+        return F.transform(
+            tokens(text_or_empty(F.col(column))),
+            lambda t: F.struct(t.alias("token"), F.lit(r).alias("r"), F.lit(h).alias("h")),
+        )
 
+    texts = pairs.select(*key, reference, summary).repartition(*key)
+    none = F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("r"), F.lit(0).alias("h")))
+    both = F.concat(none, marked(reference, 1, 0), marked(summary, 0, 1))
     bags = (
-        side(reference, 1, 0)
-        .unionByName(side(summary, 0, 1))
-        .groupBy(*key, "token")
-        .agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+        exploded(texts, key, both, "t")
+        .groupBy(*key, "t.token")
+        .agg(F.sum("t.r").alias("r"), F.sum("t.h").alias("h"))
     )
     totals = bags.groupBy(*key).agg(
         F.sum(F.least("r", "h")).alias("overlap"),
         F.sum("r").alias("n_ref"),
         F.sum("h").alias("n_sum"),
     )
-    filled = pairs.select(*key).join(totals, key, "left").na.fill(0, ["overlap", "n_ref", "n_sum"])
-    return filled.select(
+    return totals.select(
         *key, "overlap", metric(F.col("overlap"), F.col("n_ref"), F.col("n_sum")).alias("m")
     ).select(*key, "overlap", "m.precision", "m.recall", "m.fmeasure")
 

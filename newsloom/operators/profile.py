@@ -70,19 +70,27 @@ def length_profile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def describe(df: DataFrame, value: Column) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum.
 
-    The exact quartiles keep one counter per distinct value, combined before
-    the shuffle: lengths have few distinct values however many rows there are.
+    All of it comes from a histogram: lengths have few distinct values however
+    many rows there are, so the last step meets a small table and the exact
+    quartiles hold no per-task state of the input.
     """
-    v = df.select(value.alias("v"))
-    return v.agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").cast("double").alias("min"),
-        F.percentile("v", 0.25).alias("p25"),
-        F.percentile("v", 0.5).alias("p50"),
-        F.percentile("v", 0.75).alias("p75"),
-        F.max("v").cast("double").alias("max"),
+    counts = (
+        df.select(value.alias("v"))
+        .filter("v is not null")
+        .groupBy("v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    v, n = F.col("v").cast("double"), F.col("n")
+    total, first, second = F.sum(n), F.sum(v * n), F.sum(v * v * n)
+    return counts.agg(
+        F.coalesce(total, F.lit(0)).alias("count"),
+        (first / total).alias("mean"),
+        F.when(total > 1, F.sqrt((second - first * first / total) / (total - 1))).alias("std"),
+        F.min(v).alias("min"),
+        F.percentile(v, 0.25, n).alias("p25"),
+        F.percentile(v, 0.5, n).alias("p50"),
+        F.percentile(v, 0.75, n).alias("p75"),
+        F.max(v).alias("max"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.summary import SUMMARISERS
-from newsloom.functions.text import MAX_BULLETS, MAX_WORDS, strip
+from newsloom.functions.text import MAX_BULLETS, MAX_WORDS, strip, words
 
 TextModel = Callable[[list[str]], list[str]]
 LogitModel = Callable[[list[str]], list[tuple[float, float]]]
@@ -63,7 +63,7 @@ def model_logits(
 def summary_checks(df: DataFrame, summary: str = "summary") -> DataFrame:
     """Counts the rules of a generated summary: a title line, then bullets."""
     lines = F.filter(F.split(summary, "\n"), lambda line: F.length(strip(line)) > 0)
-    count = F.size(F.filter(F.split(strip(F.col(summary)), r"\s+"), lambda w: F.length(w) > 0))
+    count = F.size(words(F.col(summary)))
     return (
         df.withColumn("n_bullets", F.greatest(F.size(lines) - 1, F.lit(0)))
         .withColumn("n_words", count)

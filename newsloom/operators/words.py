@@ -10,6 +10,7 @@ from newsloom.functions.arrays import exploded, pos_exploded
 from newsloom.functions.scoring import softmax_pair
 from newsloom.functions.text import (
     PLACE_NAME_RULES,
+    let,
     letters_only,
     place_names,
     text_or_empty,
@@ -69,7 +70,7 @@ def nearest_word(word: Column, candidates: Column) -> Column:
 def word_repairs(
     pairs: DataFrame, key: list[str], article: str, summary: str, dictionary: DataFrame
 ) -> DataFrame:
-    """Adds `rare` (candidate words of the article) and `repairs` to each pair.
+    """Adds `repairs` to each pair.
 
     `repairs` lists, in order and with repeats, every summary word that neither
     occurs inside the article (in any case) nor stands in the dictionary,
@@ -79,35 +80,30 @@ def word_repairs(
         "*",
         letters_only(text_or_empty(F.col(article))).alias("_letters"),
         F.split(letters_only(text_or_empty(F.col(summary))), " ").alias("_tokens"),
-    ).select(
-        "*",
-        F.filter(F.split("_letters", " "), lambda p: F.length(p) > 0).alias("_parts"),
-        F.lower("_letters").alias("_lower"),
     )
-    parsed = parsed.withColumn(
-        "_foreign",
-        F.filter("_tokens", lambda t: ~F.contains(F.col("_lower"), F.lower(t))),
+    foreign = let(
+        F.lower("_letters"),
+        lambda whole: F.filter("_tokens", lambda t: ~F.contains(whole, F.lower(t))),
     )
+    parts = F.filter(F.split("_letters", " "), lambda p: F.length(p) > 0)
+    parsed = parsed.withColumns({"_parts": parts, "_foreign": foreign})
     unknown = unknown_words(parsed, key, F.concat("_parts", "_foreign"), dictionary)
     joined = parsed.join(unknown, key, "left").withColumn(
         "unknown", F.coalesce("unknown", F.array().cast(_STRINGS))
     )
     # A part may hold line breaks; its pieces are the candidates, in order.
-    rare = F.array_distinct(
+    candidates = F.array_distinct(
         F.flatten(F.transform(F.array_intersect("_parts", "unknown"), lambda p: words(p)))
     )
     weird = F.filter("_foreign", lambda t: F.array_contains(F.col("unknown"), t))
-    return (
-        joined.withColumn("rare", rare)
-        .withColumn("_weird", weird)
-        .withColumn(
-            "repairs",
-            F.transform(
-                "_weird",
-                lambda t: F.struct(t.alias("word"), nearest_word(t, F.col("rare")).alias("nearest")),
-            ),
-        )
-        .drop("_letters", "_tokens", "_parts", "_lower", "_foreign", "_weird", "unknown")
+    repairs = let(
+        candidates,
+        lambda rare: F.transform(
+            weird, lambda t: F.struct(t.alias("word"), nearest_word(t, rare).alias("nearest"))
+        ),
+    )
+    return joined.withColumn("repairs", repairs).drop(
+        "_letters", "_tokens", "_parts", "_foreign", "unknown"
     )
 
 
@@ -130,7 +126,7 @@ def repair_summaries(
         text_or_empty(F.col(summary)),
         lambda text, r: F.replace(text, r["word"], F.coalesce(r["nearest"], r["word"])),
     )
-    return found.withColumn("repaired", place_names(replaced, rules)).drop("rare")
+    return found.withColumn("repaired", place_names(replaced, rules))
 
 
 def lexicon_logits(
@@ -138,22 +134,16 @@ def lexicon_logits(
 ) -> DataFrame:
     """Default sentiment logits: summed lexicon weights of the words of a text.
 
-    `lexicon` has (word, negative, positive). A text without lexicon words has
-    logits 0. Words are counted per text first, so a word a text repeats is
-    looked up once.
+    `lexicon` has (word, negative, positive), one row per word. A text without
+    lexicon words has logits 0. All words of a text lie in one input partition,
+    so the sums are combined before the shuffle; the planner broadcasts a small
+    lexicon and splits frequent words of a large one.
     """
-    counted = (
-        exploded(spread(df), key, words(letters_only(F.lower(text))), "word")
-        .groupBy(*key, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    looked_up = exploded(spread(df), key, words(letters_only(F.lower(text))), "word")
     logits = (
-        counted.join(lexicon, "word")
+        looked_up.join(lexicon, "word")
         .groupBy(*key)
-        .agg(
-            F.sum(F.col("n") * F.col("negative")).alias("logit_neg"),
-            F.sum(F.col("n") * F.col("positive")).alias("logit_pos"),
-        )
+        .agg(F.sum("negative").alias("logit_neg"), F.sum("positive").alias("logit_pos"))
     )
     return (
         df.select(*key)

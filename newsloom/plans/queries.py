@@ -781,7 +781,7 @@ def scalar_date(spark, sf):
     ts = F.col("ts")
     text = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
     as_of = I.latest(read_table(spark, sf, "events"))
-    return read_table(spark, sf, "events").select(
+    return spread(read_table(spark, sf, "events")).select(
         "event_id",
         D.spanish_date(D.spanish_text(ts)).alias("spanish"),
         D.free_date(F.concat(text, F.lit("-03:00"))).alias("zoneless"),
