@@ -197,7 +197,7 @@ def _pages() -> str:
     SELECT page_id, url, html, regexp_extract({page}, '(?s)<article\b[^>]*>(.*?)</article>', 1) AS raw_content
     FROM pages),
   page_parts AS (
-    SELECT page_id, url, {strip(inner_text(head))} AS title,
+    SELECT page_id, url, html, {strip(inner_text(head))} AS title,
            list_filter({text}, lambda p: length(p) > 0) AS parts, raw_content FROM cleaned)"""
 
 
@@ -380,6 +380,32 @@ def _build() -> dict[str, str]:
         f"WITH {ARRIVALS} SELECT DISTINCT article_hash, entity, category FROM arrivals"
     )
 
+    raw_title = unescape(r"regexp_extract(html, '(?s)<h1\b[^>]*>(.*?)</h1>', 1)")
+    at = "TIMESTAMP '2024-01-01' + to_hours(page_id)"
+    sql["load_by_key"] = rf"""WITH {_pages()}, {_VIEWS}, new AS (
+        SELECT page_id, md5(url) AS article_hash, url, array_to_string(parts, ' ') AS article_body,
+               CASE WHEN page_id % 2 = 0 THEN {raw_title} ELSE lower({raw_title}) END AS article_title
+        FROM page_parts WHERE page_id % 3 <> 0),
+      folded AS (SELECT *, {greedy(sentences('article_body'))} AS g FROM new),
+      chunked AS (SELECT *, {closed('g')} AS chunks FROM folded)
+      SELECT article_hash, article_title, regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,
+             {at} AS publish_date, article_body, regexp_extract(url, '^https?://([^/]+)/', 1) AS source_entity,
+             url AS article_link,
+             array_to_string(list_transform(chunks, lambda c: {central('c')}), chr(10)) AS generated_summary,
+             view_count
+      FROM chunked LEFT JOIN views ON note_id = page_id"""
+    sql["load_by_date"] = f"""WITH {ARTICLES}, top AS (SELECT max(publish_date) AS as_of FROM articles),
+      stored AS (SELECT source_entity, category, max(publish_date) AS last_date FROM articles, top
+                 WHERE publish_date <= as_of - INTERVAL 2 HOURS GROUP BY ALL),
+      cut AS (SELECT a.*, greatest(coalesce(last_date, as_of - INTERVAL 24 HOURS), as_of - INTERVAL 24 HOURS) AS cut_date
+              FROM articles a CROSS JOIN top LEFT JOIN stored s
+                ON s.source_entity = a.source_entity AND s.category = a.category),
+      marked AS (SELECT *, max(CASE WHEN publish_date <= cut_date THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY source_entity, category ORDER BY doc_id DESC) AS stopped FROM cut)
+      SELECT article_hash, article_title, category, publish_date, source_entity, article_link,
+             CASE WHEN {_USUAL} THEN md5(article_body) END AS body_md5
+      FROM marked WHERE stopped = 0"""
+
     sql["drop_null_body"] = "SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE length(text) <= 5000"
     sql["outlier_filter"] = (
         "SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE length(text) BETWEEN 500 AND 5000"

@@ -21,6 +21,7 @@ from newsloom.operators import quality as Q
 from newsloom.operators import ranking as R
 from newsloom.operators import summarise as M
 from newsloom.operators import words as W
+from newsloom.plans import batch as B
 from newsloom.plans import rounds as L
 from newsloom.session import scratch_path, spread
 from newsloom.sources import files, sinks
@@ -406,6 +407,59 @@ def _stream_keys(stream: DataFrame) -> DataFrame:
     )
 
 
+def _page_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as listing rows, twice: the second list repeats the first under other titles."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("page_id * INTERVAL '1' HOUR")
+    return read_table(spark, sf, "pages").select(
+        F.col("page_id").alias("pos"),
+        H.unescape(H.first_element(F.col("html"), "h1")).alias("title"),
+        F.col("url").alias("link"),
+        F.when(F.col("page_id") % 7 > 0, at).alias("publish_date"),
+        K.link_md5(F.col("url")).alias("hash_id"),
+        F.regexp_extract("url", r"^https?://[^/]+/([^/]+)/", 1).alias("category"),
+        F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("entity"),
+    )
+
+
+@query
+def load_by_key(spark, sf):
+    """Two overlapping lists into a table that holds a third of the pages."""
+    listing = _page_listing(spark, sf)
+    stored = listing.filter("pos % 3 = 0").select(F.col("hash_id").alias("article_hash"))
+    again = listing.withColumn("title", F.lower("title"))
+    first = listing.filter("pos % 2 = 0")
+    pages = G.page_parts(read_table(spark, sf, "pages"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("page_id * INTERVAL '1' HOUR")
+    bodies = pages.select(
+        K.link_md5(F.col("url")).alias("hash_id"),
+        F.array_join("parts", " ").alias("article_body"),
+        at.alias("page_date"),
+        F.col("page_id").alias("note_id"),
+    )
+    rows = B.load_by_key([first, again], stored, bodies, _views(spark, sf))
+    path = scratch_path(spark, "load-by-key")
+    sinks.append_rows(rows, path)
+    return spark.read.parquet(path).drop("raw_content", "negative_score", "importance_score")
+
+
+@query
+def load_by_date(spark, sf):
+    """Listings newest first, down to the stored rows, with the bodies that could be read."""
+    rows = articles(spark, sf)
+    as_of = I.latest(rows, "publish_date")
+    listing = rows.withColumn("pos", -F.col("doc_id")).drop("article_body", "doc_id")
+    stored = rows.filter(F.col("publish_date") <= D.before(as_of, 2)).select(
+        "source_entity", "category", "publish_date"
+    )
+    bodies = P.usual_length(rows).select("article_hash", "article_body")
+    path = scratch_path(spark, "load-by-date")
+    sinks.append_rows(B.load_by_date(listing, stored, bodies, as_of), path)
+    return spark.read.parquet(path).select(
+        "article_hash", "article_title", "category", "publish_date", "source_entity", "article_link",
+        F.md5("article_body").alias("body_md5"),
+    )
+
+
 # -- profiles -------------------------------------------------------------
 
 
