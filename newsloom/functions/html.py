@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import strip
 
-# Named entities in replacement order, the ampersand last.
+# Entities in replacement order, the ampersand last. Browsers read
+# them without the semicolon as well.
 ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+    ("&lt", "<"),
+    ("&gt", ">"),
+    ("&quot", '"'),
+    ("&#39", "'"),
+    ("&nbsp", "\u00a0"),
+    ("&copy", "©"),
+    ("&middot", "·"),
+    ("&amp", "&"),
 )
 
 # Page parts that are never article text.
@@ -47,9 +48,10 @@ def drop_noise(page: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
+    decoded = text
     for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+        decoded = F.regexp_replace(decoded, f"{entity};?", character)
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def inner_text(fragment: Column) -> Column:

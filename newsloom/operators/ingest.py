@@ -13,6 +13,7 @@ from newsloom.functions.arrays import pos_exploded
 from newsloom.functions.dates import spanish_date
 from newsloom.functions.keys import link_md5
 from newsloom.functions.text import strip
+from newsloom.operators.incremental import first_per_key
 from newsloom.schema import BODY_ROW
 from newsloom.session import spread
 
@@ -212,10 +213,14 @@ def complete_articles(
     """Listing rows with body, views and a date filled from the page.
 
     `bodies` has (hash_id, article_body, page_date, note), `views` (note, view_count).
+    A listing row gets the one body of its link, so both sides are reduced to a
+    row per key first: copies of a page never multiply.
     """
+    one_body = first_per_key(bodies, "hash_id", [note])
+    one_count = views.groupBy(note).agg(F.max("view_count").alias("view_count"))
     return (
-        listing.join(bodies, "hash_id")
-        .join(views, note, "left")
+        listing.join(one_body, "hash_id")
+        .join(one_count, note, "left")
         .withColumn("publish_date", F.coalesce("publish_date", "page_date"))
         .drop("page_date")
     )

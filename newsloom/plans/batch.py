@@ -65,14 +65,18 @@ def load_by_date(
 ) -> DataFrame:
     """Article rows to append from one listing per target, newest first.
 
-    Every list is read down to its first row that is not newer than the cut;
-    `bodies` are merged from the left, so a failed page leaves NULLs. Nothing
-    is appended when no body at all could be read.
+    Every list is read down to its first row that is not newer than the cut. A
+    link listed twice is taken once, with one body; `bodies` are merged from the
+    left, so a failed page leaves NULLs. Nothing is appended when no body at all
+    could be read.
     """
     by = ["source_entity", "category"]
     targets = listing.select(*by).distinct()
     cuts = I.cut_dates(targets, stored, as_of, by)
     newer = I.take_while_newer(listing, cuts.select(*by, "cut_date"), by, order, "publish_date")
-    merged = G.left_merge(newer, bodies)
+    merged = G.left_merge(
+        I.first_per_key(newer, "article_hash", [order]),
+        I.first_per_key(bodies, "article_hash", ["article_body"]),
+    )
     any_body = bodies.limit(1).agg(F.count(F.lit(1))).scalar()
     return to_article(merged.filter(any_body > 0))

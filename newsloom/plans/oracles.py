@@ -69,7 +69,7 @@ def tokens(x: str) -> str:
 
 def unescape(x: str) -> str:
     for entity, character in ENTITIES:
-        x = f"replace({x}, {_q(entity)}, {_q(character)})"
+        x = f"regexp_replace({x}, {_q(entity + ';?')}, {_q(character)}, 'g')"
     return x
 
 
@@ -335,11 +335,13 @@ def _build() -> dict[str, str]:
       FROM documents, range(1, 8) r(page)"""
     sql["left_merge_bodies"] = f"""WITH {ARTICLES} SELECT doc_id, article_hash, article_title, category,
       CASE WHEN {_USUAL} THEN length(article_body)::INTEGER END AS body_chars FROM articles"""
-    sql["complete_articles"] = f"""WITH {_pages()}, {_VIEWS}
-      SELECT md5(url) AS hash_id, url, TIMESTAMP '2024-01-01' + to_hours(page_id)
-               + CASE WHEN page_id % 7 > 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS publish_date,
-             md5(array_to_string(parts, ' ')) AS body_md5, view_count
-      FROM page_parts LEFT JOIN views ON note_id = page_id"""
+    sql["complete_articles"] = f"""WITH {_pages()}, {_VIEWS},
+      one AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM page_parts)
+      SELECT md5(p.url) AS hash_id, p.url,
+             CASE WHEN p.page_id % 7 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(p.page_id) + INTERVAL 1 DAY
+                  ELSE TIMESTAMP '2024-01-01' + to_hours(one.page_id) END AS publish_date,
+             md5(array_to_string(one.parts, ' ')) AS body_md5, view_count
+      FROM page_parts p JOIN one ON one.url = p.url AND one.rn = 1 LEFT JOIN views ON note_id = one.page_id"""
     sql["union_lists"] = f"""WITH {ARTICLES}
       SELECT article_hash, category, doc_id, 0 AS list_no FROM articles WHERE category = 'es'
       UNION ALL SELECT article_hash, category, doc_id, 1 FROM articles WHERE category = 'en'"""
@@ -381,15 +383,21 @@ def _build() -> dict[str, str]:
     )
 
     raw_title = unescape(r"regexp_extract(html, '(?s)<h1\b[^>]*>(.*?)</h1>', 1)")
-    at = "TIMESTAMP '2024-01-01' + to_hours(page_id)"
-    sql["load_by_key"] = rf"""WITH {_pages()}, {_VIEWS}, new AS (
-        SELECT page_id, md5(url) AS article_hash, url, array_to_string(parts, ' ') AS article_body,
-               CASE WHEN page_id % 2 = 0 THEN {raw_title} ELSE lower({raw_title}) END AS article_title
-        FROM page_parts WHERE page_id % 3 <> 0),
+    sql["load_by_key"] = rf"""WITH {_pages()}, {_VIEWS},
+      listed AS (SELECT url, page_id, {raw_title} AS t, row_number() OVER (
+                   PARTITION BY url ORDER BY page_id % 2, page_id) AS rn FROM page_parts),
+      one AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM page_parts),
+      new AS (
+        SELECT one.page_id, md5(one.url) AS article_hash, one.url, array_to_string(parts, ' ') AS article_body,
+               CASE WHEN l.page_id % 2 = 0 THEN t ELSE lower(t) END AS article_title,
+               CASE WHEN l.page_id % 7 > 0 THEN l.page_id ELSE one.page_id END AS date_id
+        FROM one JOIN listed l ON l.url = one.url AND l.rn = 1 AND one.rn = 1
+        WHERE one.url NOT IN (SELECT url FROM page_parts WHERE page_id % 3 = 0)),
       folded AS (SELECT *, {greedy(sentences('article_body'))} AS g FROM new),
       chunked AS (SELECT *, {closed('g')} AS chunks FROM folded)
       SELECT article_hash, article_title, regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,
-             {at} AS publish_date, article_body, regexp_extract(url, '^https?://([^/]+)/', 1) AS source_entity,
+             TIMESTAMP '2024-01-01' + to_hours(date_id) AS publish_date, article_body,
+             regexp_extract(url, '^https?://([^/]+)/', 1) AS source_entity,
              url AS article_link,
              array_to_string(list_transform(chunks, lambda c: {central('c')}), chr(10)) AS generated_summary,
              view_count

@@ -67,6 +67,9 @@ VIEW_PAYLOAD = T.ArrayType(
     )
 )
 
+# The one field the loader uses: a narrow schema parses several times faster.
+VIEW_COUNT = T.ArrayType(_struct(Visitas=LONG))
+
 SEARCH_PAYLOAD = _struct(news_results=T.ArrayType(_struct(title=STRING, link=STRING, date=STRING)))
 
 METRIC = _struct(precision=DOUBLE, recall=DOUBLE, fmeasure=DOUBLE)

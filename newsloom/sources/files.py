@@ -99,7 +99,7 @@ def run_sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
 
 def view_count(payload: Column) -> Column:
     """Views in a view-counter payload: first element, zero or absent is NULL."""
-    return falsy_to_null(F.get(F.from_json(payload, S.VIEW_PAYLOAD), F.lit(0))["Visitas"])
+    return falsy_to_null(F.get(F.from_json(payload, S.VIEW_COUNT), F.lit(0))["Visitas"])
 
 
 def search_results(payloads: DataFrame, column: str = "payload") -> DataFrame:

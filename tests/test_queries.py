@@ -2,11 +2,10 @@
 
 import os
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check_queries import TABLES, rows_of
+from tools.check_queries import connect, rows_of
 
 FOLDER = os.environ.get("NEWSLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -14,10 +13,7 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 @pytest.fixture(scope="module")
 def con():
-    connection = duckdb.connect()
-    for t in TABLES:
-        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    return connection
+    return connect(FOLDER)
 
 
 def test_registry():
