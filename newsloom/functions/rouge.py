@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,9 +25,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TOKEN), lambda t: F.length(t) > 0)
 
 
-def token_list(text: str | None, stem: bool) -> list[str]:
+def token_list(text: str | None, stem: Callable[[str], str] | None) -> list[str]:
+    """Tokens of a text; `stem` is applied to those of more than three characters."""
     found = [t for t in _SPLIT.split((text or "").lower()) if t]
-    return [porter_stem(t) if len(t) > 3 else t for t in found] if stem else found
+    return [stem(t) if len(t) > 3 else t for t in found] if stem else found
+
+
+def stemmer(wanted: bool) -> Callable[[str], str] | None:
+    """A stemmer with a memory of its own, made inside a task."""
+    return lru_cache(maxsize=100_000)(porter_stem) if wanted else None
 
 
 def common_length(left: list[str], right: list[str]) -> int:
@@ -51,7 +59,7 @@ def _metric(overlap: int, reference: int, summary: int) -> dict[str, float]:
     }
 
 
-def pair_scores(reference: str | None, summary: str | None, stem: bool) -> dict:
+def pair_scores(reference: str | None, summary: str | None, stem=None) -> dict:
     ref, hyp = token_list(reference, stem), token_list(summary, stem)
     overlap = (Counter(ref) & Counter(hyp)).total()
     return {
@@ -65,8 +73,9 @@ def rouge_score(reference: Column, summary: Column, stem: bool = True) -> Column
 
     @F.pandas_udf(ROUGE)
     def score(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        cut = stemmer(stem)
         return pd.DataFrame(
-            [pair_scores(r, h, stem) for r, h in zip(refs, hyps)], columns=["rouge1", "rougeL"]
+            [pair_scores(r, h, cut) for r, h in zip(refs, hyps)], columns=["rouge1", "rougeL"]
         )
 
     return score(reference, summary)
@@ -77,9 +86,10 @@ def rouge_scores(references: Column, summaries: Column, stem: bool = True) -> Co
 
     @F.pandas_udf(T.ArrayType(ROUGE))
     def score(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        cut = stemmer(stem)
         return pd.Series(
             [
-                None if r is None or h is None else [pair_scores(a, b, stem) for a, b in zip(r, h)]
+                None if r is None or h is None else [pair_scores(a, b, cut) for a, b in zip(r, h)]
                 for r, h in zip(refs, hyps)
             ]
         )

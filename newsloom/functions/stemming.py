@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # Words with a stem of their own.
 IRREGULAR = {
     "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -128,7 +126,6 @@ def _final_e(word: str) -> str:
     return stem if measure > 1 or (measure == 1 and not _short_end(stem)) else word
 
 
-@lru_cache(maxsize=100_000)
 def porter_stem(word: str) -> str:
     """Stem of a lower-case token; tokens of up to two letters stay."""
     if word in IRREGULAR:

@@ -25,17 +25,22 @@ def build_session(app_name: str = "newsloom", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, as `spark.checkpoint.dir` names it.
 
     Where the setting is absent (tests on one machine) a fresh local folder is
-    made and remembered in the session.
+    made once per application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="newsloom-")
+    return _LOCAL_DIRS[application]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

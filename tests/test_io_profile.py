@@ -7,7 +7,7 @@ from newsloom import schema as S
 from newsloom.operators import profile as P
 from newsloom.operators import quality as Q
 from newsloom.operators import ranking as R
-from newsloom.session import shared_dir
+from newsloom.session import scratch_path, shared_dir
 from newsloom.sources import files, sinks
 
 ROWS = [
@@ -65,8 +65,16 @@ def test_sql_errors_are_raised(spark, rows):
 
 
 def test_shared_dir_follows_the_session(spark):
-    before = shared_dir(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == before == shared_dir(spark)
+    class Session:
+        sparkContext = spark.sparkContext
+
+        def __init__(self, value):
+            self.conf = {"spark.checkpoint.dir": value}
+
+    assert shared_dir(Session("hdfs://shared/x")) == "hdfs://shared/x"
+    local = shared_dir(Session(None))
+    assert local == shared_dir(Session(None)) and "newsloom-" in local
+    assert scratch_path(spark, "t") != scratch_path(spark, "t")
 
 
 def test_sorted_curve_with_a_hot_value(spark):
