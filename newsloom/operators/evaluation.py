@@ -9,6 +9,7 @@ from newsloom.functions.arrays import exploded, pos_exploded
 from newsloom.functions.rouge import mean_metric, tokens
 from newsloom.functions.scoring import metric
 from newsloom.functions.text import text_or_empty
+from newsloom.session import dealt_by
 
 # (result column, metric, field)
 MEANS = (
@@ -36,7 +37,7 @@ def rouge1(pairs: DataFrame, key: list[str], reference: str, summary: str) -> Da
             lambda t: F.struct(t.alias("token"), F.lit(r).alias("r"), F.lit(h).alias("h")),
         )
 
-    texts = pairs.select(*key, reference, summary).repartition(*key)
+    texts = dealt_by(pairs.select(*key, reference, summary), *key)
     none = F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("r"), F.lit(0).alias("h")))
     both = F.concat(none, marked(reference, 1, 0), marked(summary, 0, 1))
     bags = (

@@ -16,7 +16,7 @@ from newsloom.functions.text import (
     text_or_empty,
     words,
 )
-from newsloom.session import spread
+from newsloom.session import dealt_by, spread
 
 _STRINGS = "array<string>"
 
@@ -76,7 +76,7 @@ def word_repairs(
     occurs inside the article (in any case) nor stands in the dictionary,
     together with the nearest rare word of the article.
     """
-    parsed = spread(pairs).select(
+    parsed = dealt_by(pairs, *key).select(
         "*",
         letters_only(text_or_empty(F.col(article))).alias("_letters"),
         F.split(letters_only(text_or_empty(F.col(summary))), " ").alias("_tokens"),

@@ -57,6 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
 
 
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over the configured number of shuffle partitions.
+
+    Later groupings and joins on the key then stay in place. The number is
+    given, so that small but costly rows are not packed into a few tasks.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for costly per-row work on a small input.
 

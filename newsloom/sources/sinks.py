@@ -51,7 +51,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Replace a table by an empty one."""
     spark.createDataFrame([], schema).write.mode("overwrite").option(
-        "spark.sql.sources.partitionOverwriteMode", "static"
+        "partitionOverwriteMode", "static"
     ).parquet(path)
 
 
