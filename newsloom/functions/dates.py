@@ -22,7 +22,7 @@ SPANISH_WEEKDAYS = (
 
 _SPANISH_DATE = r"^\D*(\d{1,2}) (\p{L}+),? (\d{4}),? (\d{1,2}):(\d{2})$"
 _DAY_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-_ZONE = r"\s*(?:Z|[+-]\d{2}:?\d{2})$"
+_ZONE = r"(:\d{2}(?:\.\d+)?)\s*(?:Z|[+-]\d{2}:?\d{2})$"
 
 
 def as_column(value) -> Column:
@@ -73,8 +73,8 @@ def spanish_text(moment: Column) -> Column:
 
 
 def drop_zone(text: Column) -> Column:
-    """Remove a trailing zone label without converting the time."""
-    return F.regexp_replace(text, _ZONE, "")
+    """Remove the zone label behind a time, without converting the time."""
+    return F.regexp_replace(text, _ZONE, "$1")
 
 
 def free_date(text: Column) -> Column:

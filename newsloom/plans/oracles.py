@@ -254,7 +254,7 @@ _EXPORT = f"""WITH {SCORED} SELECT article_hash, article_title, category, publis
   NULL::VARCHAR AS raw_content, source_entity, article_link, NULL::VARCHAR AS generated_summary,
   negative_score, importance_score FROM scored"""
 _VIEWS = """views AS (SELECT event_id AS note_id,
-  nullif(CAST(json_extract(props, '$.k') AS BIGINT) % 20, 0) AS view_count FROM events)"""
+  nullif(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS view_count FROM events)"""
 
 
 def _chunks(select_list: str, where: str = "true") -> str:
@@ -307,7 +307,7 @@ def _build() -> dict[str, str]:
       SELECT page_id, pos, title, link,
              CASE WHEN contains(link, '.cl') OR contains(link, '.com') THEN '##' ELSE '!!' END AS mark,
              contains(link, 'biobio') AS is_biobio
-      FROM hits WHERE pos % 2 = 0"""
+      FROM hits WHERE pos < 3"""
 
     sql["listing_articles"] = rf"""WITH {_cards()}
       SELECT page_id, pos::INTEGER AS pos, title, link, link || '.png' AS image,
@@ -316,6 +316,12 @@ def _build() -> dict[str, str]:
              regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,
              regexp_extract(url, '^https?://([^/]+)/', 1) AS entity, md5(raw) AS raw_md5
       FROM listing"""
+    sql["batch_cap"] = rf"""WITH {_cards()}, rows AS (
+        SELECT regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category, page_id, pos, link FROM listing),
+      counts AS (SELECT category, page_id, count(*) AS n FROM rows GROUP BY ALL),
+      running AS (SELECT *, sum(n) OVER (PARTITION BY category ORDER BY page_id) - n AS before FROM counts)
+      SELECT category, page_id, pos::INTEGER AS pos, md5(link) AS hash_id
+      FROM rows JOIN running USING (category, page_id) WHERE before < 200"""
     sql["page_extract"] = f"""WITH {_pages()} SELECT page_id, title, array_to_string(parts, ' ') AS article_body,
       md5(raw_content) AS raw_md5 FROM page_parts"""
     sql["assemble_body"] = f"""WITH {_pages()}, rows AS (
@@ -338,7 +344,7 @@ def _build() -> dict[str, str]:
     sql["complete_articles"] = f"""WITH {_pages()}, {_VIEWS},
       one AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM page_parts)
       SELECT md5(p.url) AS hash_id, p.url,
-             CASE WHEN p.page_id % 7 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(p.page_id) + INTERVAL 1 DAY
+             CASE WHEN NOT contains(p.url, '#') THEN TIMESTAMP '2024-01-01' + to_hours(p.page_id) + INTERVAL 1 DAY
                   ELSE TIMESTAMP '2024-01-01' + to_hours(one.page_id) END AS publish_date,
              md5(array_to_string(one.parts, ' ')) AS body_md5, view_count
       FROM page_parts p JOIN one ON one.url = p.url AND one.rn = 1 LEFT JOIN views ON note_id = one.page_id"""
@@ -367,7 +373,7 @@ def _build() -> dict[str, str]:
         AND article_hash NOT IN (SELECT article_hash FROM arrivals, top
           WHERE ts < as_of - INTERVAL 24 HOURS AND ts >= as_of - INTERVAL 48 HOURS)"""
     sql["batch_low_date"] = f"""WITH {ARRIVALS}, dated AS (
-        SELECT entity, category, event_id, CASE WHEN k % 4 > 0 THEN ts END AS d FROM arrivals),
+        SELECT entity, category, event_id, CASE WHEN k >= 25 THEN ts END AS d FROM arrivals),
       grouped AS (SELECT entity, category, min(d) AS low, arg_min(CASE WHEN d IS NULL THEN 0 ELSE 1 END, event_id) AS ok
                   FROM dated GROUP BY 1, 2)
       SELECT entity, category, CASE WHEN ok = 1 THEN low ELSE least(low, TIMESTAMP '2024-01-01') END AS low_date
@@ -385,14 +391,15 @@ def _build() -> dict[str, str]:
     raw_title = unescape(r"regexp_extract(html, '(?s)<h1\b[^>]*>(.*?)</h1>', 1)")
     sql["load_by_key"] = rf"""WITH {_pages()}, {_VIEWS},
       listed AS (SELECT url, page_id, {raw_title} AS t, row_number() OVER (
-                   PARTITION BY url ORDER BY page_id % 2, page_id) AS rn FROM page_parts),
+                   PARTITION BY url ORDER BY page_id) AS rn FROM page_parts),
       one AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM page_parts),
       new AS (
         SELECT one.page_id, md5(one.url) AS article_hash, one.url, array_to_string(parts, ' ') AS article_body,
-               CASE WHEN l.page_id % 2 = 0 THEN t ELSE lower(t) END AS article_title,
-               CASE WHEN l.page_id % 7 > 0 THEN l.page_id ELSE one.page_id END AS date_id
+               CASE WHEN regexp_extract(l.url, '^https?://[^/]+/([^/]+)/', 1) = 'en' THEN t ELSE lower(t) END AS article_title,
+               one.page_id AS date_id
         FROM one JOIN listed l ON l.url = one.url AND l.rn = 1 AND one.rn = 1
-        WHERE one.url NOT IN (SELECT url FROM page_parts WHERE page_id % 3 = 0)),
+        WHERE one.url NOT IN (SELECT url FROM pages WHERE NOT contains(url, '#') AND page_id <
+          (SELECT max(page_id) FROM pages WHERE NOT contains(url, '#')) - 120)),
       folded AS (SELECT *, {greedy(sentences('article_body'))} AS g FROM new),
       chunked AS (SELECT *, {closed('g')} AS chunks FROM folded)
       SELECT article_hash, article_title, regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,

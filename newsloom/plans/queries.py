@@ -157,9 +157,9 @@ def search_hits(spark, sf):
     host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     links = F.regexp_extract_all("html", F.lit(anchor), F.lit(1))
     titles = F.regexp_extract_all("html", F.lit(anchor), F.lit(2))
-    age = lambda i: F.when(i % 2 == 0, F.concat(F.lit("hace "), i + 1, F.lit(" horas"))).otherwise(
-        F.concat(F.lit("hace "), i + 1, F.lit(" días"))
-    )
+    # The first hits of a page are some hours old, the later ones some days.
+    unit = lambda i: F.when(i < 3, " horas").otherwise(" días")
+    age = lambda i: F.concat(F.lit("hace "), i + 1, unit(i))
     hits = F.transform(
         F.arrays_zip(links.alias("link"), titles.alias("title")),
         lambda x, i: F.struct(
@@ -200,6 +200,14 @@ def listing_articles(spark, sf):
     )
 
 
+@query
+def batch_cap(spark, sf):
+    """The listing pages one batch takes per category."""
+    return I.batch_pages(_listing(spark, sf), ["category"], "page_id").select(
+        "category", "page_id", "pos", "hash_id"
+    )
+
+
 @query
 def page_extract(spark, sf):
     parts = G.page_parts(read_table(spark, sf, "pages"))
@@ -227,9 +235,11 @@ def template_route(spark, sf):
 @query
 def template_bodies(spark, sf):
     """The pages in the three article templates, read by the tag walker."""
-    kind = F.col("page_id") % 3
+    url = F.col("url")
     number = F.col("page_id").cast("string")
-    pick = lambda a, b, c: F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
+    pick = lambda a, b, c: (
+        F.when(F.contains(url, F.lit("://www.")), a).when(F.contains(url, F.lit("://m.")), b).otherwise(c)
+    )
     root = pick(F.lit("nota-y-mas-leidos"), F.lit("nota"), F.lit("post"))
     box = pick(*[F.lit("banners-contenido-nota")] * 2, F.concat(F.lit("banners-contenido-nota-"), number))
     head = pick(F.lit("extracto-nota"), F.lit("extracto-nota"), F.lit("post-excerpt"))
@@ -266,7 +276,7 @@ def left_merge_bodies(spark, sf):
 
 def _views(spark: SparkSession, sf: str) -> DataFrame:
     """Counter payloads made of the event properties, read back."""
-    k = F.get_json_object("props", "$.k").cast("bigint") % 20
+    k = F.get_json_object("props", "$.k").cast("bigint")
     payload = F.to_json(
         F.array(F.struct(F.col("event_id").alias("NotaId"), F.col("event_type").alias("Titulo"), k.alias("Visitas")))
     )
@@ -280,7 +290,8 @@ def complete_articles(spark, sf):
     pages = G.page_parts(read_table(spark, sf, "pages"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("page_id * INTERVAL '1' HOUR")
     page_date = D.spanish_date(D.spanish_text(at))
-    listed = F.when(F.col("page_id") % 7 > 0, D.spanish_text(at + F.expr("INTERVAL '1' DAY"))).otherwise("")
+    day_later = D.spanish_text(at + F.expr("INTERVAL '1' DAY"))
+    listed = F.when(F.contains(F.col("url"), F.lit("#")), "").otherwise(day_later)
     listing = read_table(spark, sf, "pages").select(
         K.link_md5(F.col("url")).alias("hash_id"), "url", D.spanish_date(listed).alias("publish_date")
     )
@@ -348,7 +359,7 @@ def unseen_articles(spark, sf):
 def batch_low_date(spark, sf):
     rows = arrivals(spark, sf)
     k = F.get_json_object("props", "$.k").cast("bigint")
-    dated = rows.select("entity", "category", "event_id", F.when(k % 4 > 0, F.col("ts")).alias("ts"))
+    dated = rows.select("entity", "category", "event_id", F.when(k >= 25, F.col("ts")).alias("ts"))
     as_of = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return I.lowest_dates(dated, ["entity", "category"], "event_id", as_of)
 
@@ -414,7 +425,7 @@ def _page_listing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("page_id").alias("pos"),
         H.unescape(H.first_element(F.col("html"), "h1")).alias("title"),
         F.col("url").alias("link"),
-        F.when(F.col("page_id") % 7 > 0, at).alias("publish_date"),
+        F.when(~F.contains(F.col("url"), F.lit("#")), at).alias("publish_date"),
         K.link_md5(F.col("url")).alias("hash_id"),
         F.regexp_extract("url", r"^https?://[^/]+/([^/]+)/", 1).alias("category"),
         F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("entity"),
@@ -423,11 +434,12 @@ def _page_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def load_by_key(spark, sf):
-    """Two overlapping lists into a table that holds a third of the pages."""
+    """Two overlapping lists into a table that holds all but the last days."""
     listing = _page_listing(spark, sf)
-    stored = listing.filter("pos % 3 = 0").select(F.col("hash_id").alias("article_hash"))
+    last = D.before(I.latest(listing, "publish_date"), 24 * 5)
+    stored = listing.filter(F.col("publish_date") < last).select(F.col("hash_id").alias("article_hash"))
     again = listing.withColumn("title", F.lower("title"))
-    first = listing.filter("pos % 2 = 0")
+    first = listing.filter("category = 'en'")
     pages = G.page_parts(read_table(spark, sf, "pages"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("page_id * INTERVAL '1' HOUR")
     bodies = pages.select(

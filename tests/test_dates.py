@@ -34,10 +34,14 @@ def test_spanish_date(spark):
 
 
 def test_free_date_drops_zone_without_conversion(spark):
-    texts = ["2023-07-05 18:03:00-04:00", "2023-07-05T18:03:00Z", "05/07/2023 18:03", "2023-07-05", "x"]
+    # fmt: off
+    texts = ["2023-07-05 18:03:00-04:00", "2023-07-05T18:03:00Z", "05/07/2023 18:03", "2023-07-05", "x", "05-07-2023",
+             "2023-07-05 18:03:00.5 +0200", "miércoles 5 julio, 2023 | 18:03", None]
+    # fmt: on
     same = datetime(2023, 7, 5, 18, 3)
     assert values(spark, texts, "string", D.free_date(F.col("v"))) == [
-        same, same, same, datetime(2023, 7, 5), None,
+        same, same, same, datetime(2023, 7, 5), None, datetime(2023, 7, 5),
+        same.replace(microsecond=500_000), same, None,
     ]
 
 
