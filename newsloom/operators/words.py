@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ _STRINGS = "array<string>"
 
 
 def spanish_stop_words() -> list[str]:
-    """The Spanish list that ships with Spark ML."""
-    return StopWordsRemover.loadDefaultStopWords("spanish")
+    """The Spanish list of Spark ML, as a file of this package: it needs no session."""
+    path = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "spanish_stop_words.txt")
+    with open(path, encoding="utf-8") as file:
+        return [w for w in file.read().split("\n") if w and not w.startswith("#")]
 
 
 def space_parts(text: Column) -> Column:

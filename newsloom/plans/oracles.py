@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
+from functools import cache
 
 from newsloom.functions import text as X
 from newsloom.functions.html import ENTITIES, NOISE
+from newsloom.operators.words import spanish_stop_words
 
 
 def _q(text: str) -> str:
@@ -176,17 +176,6 @@ def _means_query(select: str) -> str:
     return f"WITH RECURSIVE {rounds_sql()}{scored_rounds()}{MEANS} {select}"
 
 
-def spanish_stop_words() -> list[str]:
-    """The list Spark ML ships, read from its jar (needs no session)."""
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(j for j in sorted(os.listdir(jars)) if j.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, jar)) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode()
-    return [w for w in text.split("\n") if w]
-
-
 def _pages() -> str:
     page = "html"
     for pattern in NOISE:
@@ -268,7 +257,8 @@ def _softmax(a: str, b: str) -> tuple[str, str]:
     return f"{ea} / ({ea} + {eb})", f"{eb} / ({ea} + {eb})"
 
 
-def _build() -> dict[str, str]:
+@cache
+def oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["csv_roundtrip"] = sql["json_roundtrip"] = _EXPORT
 
@@ -601,5 +591,3 @@ def _build() -> dict[str, str]:
         list_sum(list_transform(range(k % 6 + 1), lambda x: x * x))::INTEGER AS squares, k AS lookup FROM e"""
     return sql
 
-
-ORACLES = _build()

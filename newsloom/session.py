@@ -31,12 +31,16 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, as `spark.checkpoint.dir` names it.
 
-    Where the setting is absent (tests on one machine) a fresh local folder is
-    made once per application.
+    Where the setting is absent a local master gets a fresh folder, once per
+    application. On a cluster that is an error: executors would each write to a
+    disk of their own, and later reads would miss the files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:
         _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="newsloom-")
@@ -57,6 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of their own in the shared folder.
+
+    Lineage ends there: a lost executor costs no more than reading it again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key over the configured number of shuffle partitions.
 

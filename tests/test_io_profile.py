@@ -71,10 +71,17 @@ def test_shared_dir_follows_the_session(spark):
         def __init__(self, value):
             self.conf = {"spark.checkpoint.dir": value}
 
+    class Cluster(Session):
+        class sparkContext:
+            master = "spark://host:7077"
+
     assert shared_dir(Session("hdfs://shared/x")) == "hdfs://shared/x"
     local = shared_dir(Session(None))
     assert local == shared_dir(Session(None)) and "newsloom-" in local
     assert scratch_path(spark, "t") != scratch_path(spark, "t")
+    assert shared_dir(Cluster("s3a://shared/x")) == "s3a://shared/x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster(None))
 
 
 def test_sorted_curve_with_a_hot_value(spark):
