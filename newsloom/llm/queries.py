@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, token_counts, warc
+from newsloom.llm import mixing, quality, token_counts, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -46,3 +46,12 @@ def op9_warc(spark, sf):
     return warc.read_archives(spark, archives, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op10_quality_rules(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    rows = quality.judged(docs, read_table(spark, sf, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    shown = [f"judgement.statistics.{c}" for c in counts]
+    return rows.select("doc_id", *shown, "judgement.base_failed", "judgement.kept", "judgement.rule")
