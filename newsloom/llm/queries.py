@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, quality, token_counts, warc
+from newsloom.llm import fingerprints, mixing, quality, token_counts, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -55,3 +55,8 @@ def op10_quality_rules(spark, sf):
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     shown = [f"judgement.statistics.{c}" for c in counts]
     return rows.select("doc_id", *shown, "judgement.base_failed", "judgement.kept", "judgement.rule")
+
+
+@query
+def op3_fingerprints(spark, sf):
+    return fingerprints.fingerprints(read_table(spark, sf, "documents"))
