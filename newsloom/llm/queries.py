@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, quality, token_counts, warc
+from newsloom.llm import fingerprints, mixing, quality, token_counts, toxicity, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -60,3 +60,8 @@ def op10_quality_rules(spark, sf):
 @query
 def op3_fingerprints(spark, sf):
     return fingerprints.fingerprints(read_table(spark, sf, "documents"))
+
+
+@query
+def op6_toxicity(spark, sf):
+    return toxicity.toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
