@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, quality, token_counts, toxicity, warc
+from newsloom.llm import fingerprints, mixing, quality, simhash, token_counts, toxicity, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -65,3 +65,9 @@ def op3_fingerprints(spark, sf):
 @query
 def op6_toxicity(spark, sf):
     return toxicity.toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+@query
+def op1_simhash_dedup(spark, sf):
+    rows = simhash.near_duplicates(read_table(spark, sf, "documents"))
+    return rows.select("doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
