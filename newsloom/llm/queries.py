@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, quality, simhash, token_counts, toxicity, warc
+from newsloom.llm import fingerprints, mixing, quality, simhash, substrings, token_counts, toxicity, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -71,3 +71,10 @@ def op6_toxicity(spark, sf):
 def op1_simhash_dedup(spark, sf):
     rows = simhash.near_duplicates(read_table(spark, sf, "documents"))
     return rows.select("doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_substring_dedup(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return substrings.remove_repeats(docs).select("doc_id", "removal.n_words", "removal.n_removed", kept)
