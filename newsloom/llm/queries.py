@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, quality, simhash, substrings, token_counts, toxicity, warc
+from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, token_counts, toxicity, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -78,3 +78,11 @@ def op4_substring_dedup(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return substrings.remove_repeats(docs).select("doc_id", "removal.n_words", "removal.n_removed", kept)
+
+
+@query
+def op8_sentencepiece(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    rows = pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model"))
+    n = F.size("encoding.ids").cast("long").alias("n_tokens")
+    return rows.select("doc_id", n, "encoding.ids", F.sha2("encoding.decoded", 256).alias("decoded_sha256"))
