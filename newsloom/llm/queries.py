@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, token_counts, toxicity, warc
+from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, suffixes, token_counts, toxicity, warc
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -86,3 +86,10 @@ def op8_sentencepiece(spark, sf):
     rows = pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model"))
     n = F.size("encoding.ids").cast("long").alias("n_tokens")
     return rows.select("doc_id", n, "encoding.ids", F.sha2("encoding.decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_suffix_dedup(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    shown = [f"removal.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    return suffixes.remove_repeats(docs).select("doc_id", *shown)
