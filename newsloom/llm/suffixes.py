@@ -58,10 +58,10 @@ def groups_of(data: list[bytes], window: int):
 def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
     """(`doc`, `groups`): per document packed numbers of its groups whose anchor another document may have.
 
-    A task tells at once what its own documents share, and sends each anchor
-    once, whatever their number, as a few bytes of a sorted, packed run. So an
-    anchor in a third of all documents is one entry per run. Parts are
-    decoded one after the other.
+    A task tells at once what its own documents share, and sends such an
+    anchor once, others as often as their document has them, as a few bytes
+    each of a sorted, packed run. So an anchor in a third of all documents is
+    one entry per run. Parts are decoded one after the other.
     """
     kinds = {"part": pa.int32(), "doc": pa.int64(), "packed": pa.list_(pa.binary())}
 
@@ -77,7 +77,9 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             end = np.append(begin[1:], len(h)) - 1
             several = np.repeat(doc[begin] != doc[end], end - begin + 1)
             yield from per_document(doc[several], group[several])
-            h, doc, group = h[begin], doc[begin], group[begin]
+            sent = ~several
+            sent[begin] = True
+            h, doc, group = h[sent], doc[sent], group[sent]
             part = h % parts
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
