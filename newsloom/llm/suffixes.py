@@ -309,9 +309,9 @@ def window_runs(runs: DataFrame, partly: DataFrame, window: int, parts: int) ->
         entries: list[tuple] = []
         for batch in batches:
             for r in batch.to_pylist():
-                asked: dict[int, dict[int, dict]] = {}
+                asked: dict[int, dict[int, int]] = {}
                 for x in r["asked"]:
-                    asked.setdefault(x["part"], {})[x["place"]] = x
+                    asked.setdefault(x["part"], {})[x["place"]] = x["doc"]
                 for keys, packed in zip(r["keys"], r["members"], strict=True):
                     if not (places := asked.get(keys["part"])):
                         continue
@@ -322,18 +322,18 @@ def window_runs(runs: DataFrame, partly: DataFrame, window: int, parts: int) ->
                         left = int.from_bytes(key[-2:], "big")
                         whole = key[len(key) - 2 - left : -2] + key[: len(key) - 2 - left]
                         a, b = np.searchsorted(at, [i, i + 1])
-                        x = places[i]
-                        # The smallest document may hold the key at several places; equal windows need one.
-                        j = a + int(np.flatnonzero((doc[a:b] == x["doc"]) & (content[a:b] == x["content"]))[0])
-                        for k in range(int(n[j])):
-                            entries.append((whole[k : k + window], x["doc"], x["content"], int(first[j]) + k, 1, 0))
+                        # Every place that the smallest document has the key at.
+                        for j in range(a, b):
+                            if doc[j] == places[i]:
+                                for k in range(int(n[j])):
+                                    entries.append((whole[k : k + window], int(doc[j]), int(content[j]), int(first[j]) + k, 1, 0))
                     if len(entries) >= SORTED:
                         yield _runs(entries, parts)
                         entries = []
         if entries:
             yield _runs(entries, parts)
 
-    asked = partly.groupBy("run").agg(F.collect_list(F.struct("part", "place", "doc", "content")).alias("asked"))
+    asked = partly.groupBy("run").agg(F.collect_list(F.struct("part", "place", "doc")).alias("asked"))
     asked = asked.select(F.col("run").alias("_run"), "asked")
     rows = runs.join(asked, F.col("run") == F.col("_run")).select("keys", "members", "asked")
     return rows.mapInArrow(run, RUNS)
