@@ -32,9 +32,9 @@ def common(a: bytes, b: bytes, known: int) -> int:
 
 def front_coded(keys: list[bytes]) -> bytes:
     """Ascending keys: per key how much of the one before it stays, and the bytes that follow."""
-    shared = [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:], strict=False))]
+    shared = [common(a, b, 0) for a, b in zip([b"", *keys], keys, strict=False)]
     tails = [k[s:] for k, s in zip(keys, shared, strict=True)]
-    heads = [pack(np.array(shared[: len(keys)])), pack(np.array([len(t) for t in tails]))]
+    heads = [pack(np.array(shared, np.int64)), pack(np.array([len(t) for t in tails], np.int64))]
     body = b"".join(tails)
     sizes = b"".join(len(h).to_bytes(8, "little") for h in heads) + len(body).to_bytes(8, "little")
     return sizes + heads[0] + heads[1] + pa.compress(body, codec="zstd", asbytes=True)
