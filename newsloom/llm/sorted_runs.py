@@ -92,31 +92,14 @@ class LoserTree:
         self.shared[a] = h
         return b, a
 
-    def __iter__(self) -> Iterator[tuple[int, bytes, bool]]:
-        """(run, key, whether the key equals the one before) in ascending order of keys."""
-        last = None
+    def __iter__(self) -> Iterator[tuple[int, bytes, int]]:
+        """(run, key, bytes shared with the key before) in ascending order of keys."""
         while (key := self.keys[self.winner]) is not None:
             run = self.winner
-            yield run, key, last is not None and self.shared[run] == len(key) == len(last)
-            last = key
+            yield run, key, self.shared[run]
             self.keys[run], self.shared[run] = next(self.runs[run], (None, 0))
             at, win = (self.n + run) // 2, run
             while at:
                 win, self.losers[at] = self._play(win, self.losers[at])
                 at //= 2
             self.winner = win
-
-
-def merge_least(runs: list[bytes], least: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per run and key: the number of the key among all distinct ones, and the least value any run has for it."""
-    numbers = [np.empty(len(x), np.int64) for x in least]
-    at = [0] * len(runs)
-    n = -1
-    for run, _, same in LoserTree([decoded(r) for r in runs]):
-        n += not same
-        numbers[run][at[run]] = n
-        at[run] += 1
-    lowest = np.full(n + 1, np.iinfo(np.int64).max)
-    for mine, values in zip(numbers, least, strict=True):
-        np.minimum.at(lowest, mine, values)
-    return [(mine, lowest[mine]) for mine in numbers]

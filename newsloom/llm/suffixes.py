@@ -4,23 +4,22 @@ Not every suffix can repeat for a window's length. A first exchange of packed
 numbers finds the anchors (runs of 16 bytes that the content chooses, such that
 each window has one) which two documents share; only suffixes that start at
 these are sorted. Such a suffix stands for all neighbouring windows with that
-anchor; where documents share only some of these, each window is a suffix of its own.
+anchor: equal suffixes share all of them, and suffixes that follow each other
+with the anchor in common are compared window by window.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.runs import Hashes, anchored, covered
-from newsloom.llm.sorted_runs import decoded, front_coded, merge_least, pack, unpack
+from newsloom.llm.sorted_runs import LoserTree, decoded, front_coded, pack, unpack
 from newsloom.llm.words import fresh
 from newsloom.session import written
 
@@ -29,9 +28,12 @@ GRAM = 16
 BITS = 48
 #: Bytes of text hashed at once, anchors packed at once, and keys sorted at once in a task.
 BLOCK, PACKED, SORTED = 1 << 21, 1 << 20, 200_000
+#: Different keys of one anchor that are compared in memory; the windows of more are grouped by Spark.
+HELD = 20_000
 
-KEYS = "array<struct<part:int,coded:binary,least:binary,anchor:binary>>"
-RUNS = f"run string, keys {KEYS}, members array<binary>"
+#: What tasks find: a covered stretch of a document, or a key whose windows are still to be grouped.
+FOUND = "doc long, content long, start long, end long, key binary"
+_FOUND = {"doc": pa.int64(), "content": pa.int64(), "start": pa.int64(), "end": pa.int64(), "key": pa.binary()}
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -95,7 +97,7 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             begin = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else []
             pieces = np.split(group, begin[1:]) if len(begin) else []
             if pieces:
-                yield _batch({"part": [-1] * len(pieces), "doc": doc[begin], "packed": [[pack(p)] for p in pieces]}, kinds)
+                yield _batch({"part": doc[begin] % parts, "doc": doc[begin], "packed": [[pack(p)] for p in pieces]}, kinds)
 
         for batch in batches:
             at = 0
@@ -136,223 +138,241 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                p = batch.column(0)[i].as_py()
+                p, d = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if p != part and rows:
                     yield from found()
                     rows = []
                 part = p
-                deltas, doc, group = (unpack(x.as_py()) for x in batch.column(1)[i].values)
-                rows.append((np.cumsum(deltas), doc, group))
+                values = [x.as_py() for x in batch.column(2)[i].values]
+                if d is not None:  # told by its own task
+                    yield _batch({"doc": [d], "groups": values}, {"doc": pa.int64(), "groups": pa.binary()})
+                else:
+                    deltas, doc, group = map(unpack, values)
+                    rows.append((np.cumsum(deltas), doc, group))
         if rows:
             yield from found()
 
-    sent = written(docs.select("doc", "text").mapInArrow(local, "part int, doc long, packed array<binary>"), "suffix-anchors")
-    here = sent.filter("part < 0").select("doc", F.col("packed")[0].alias("groups"))
-    dealt = sent.filter("part >= 0").select("part", "packed").repartition(parts, "part").sortWithinPartitions("part")
+    sent = docs.select("doc", "text").mapInArrow(local, "part int, doc long, packed array<binary>")
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     there = dealt.mapInArrow(across, "doc long, groups binary")
-    return here.unionByName(there).groupBy("doc").agg(F.collect_list("groups").alias("groups"))
-
-
-def _runs(entries: list[tuple], parts: int) -> pa.RecordBatch:
-    """One row of `RUNS` from (key, doc, content, first, n, anchor): sorted by part and key, equal keys once."""
-    columns: list[dict] = []
-    members = []
-    by_part: dict[int, list] = {}
-    for e in entries:
-        by_part.setdefault(xxhash.xxh3_64_intdigest(e[0]) % parts, []).append(e)
-    for part, mine in sorted(by_part.items()):
-        mine.sort(key=lambda e: (e[0], e[1]))
-        new = [True, *(a[0] != b[0] for a, b in zip(mine, mine[1:], strict=False))]
-        firsts = [e for e, x in zip(mine, new, strict=True) if x]
-        columns.append(
-            {
-                "part": part,
-                "coded": front_coded([e[0] for e in firsts]),
-                "least": pack(np.array([e[1] for e in firsts])),
-                "anchor": pack(np.array([e[5] for e in firsts])),
-            }
-        )
-        place = np.cumsum(new) - 1
-        members.append(pack(np.concatenate([place, *(np.array([e[i] for e in mine]) for i in (1, 2, 3, 4))])))
-    kinds = {
-        "run": pa.string(),
-        "keys": pa.list_(pa.struct([("part", pa.int32()), ("coded", pa.binary()), ("least", pa.binary()), ("anchor", pa.binary())])),
-        "members": pa.list_(pa.binary()),
-    }
-    return _batch({"run": [uuid.uuid4().hex], "keys": [columns], "members": [members]}, kinds)
+    return there.groupBy("doc").agg(F.collect_list("groups").alias("groups"))
+
+
+def _rows(spans: list[tuple], keys: list[tuple] = ()) -> pa.RecordBatch:
+    """`FOUND` rows from (doc, content, start, end), those that touch made one, and (doc, content, first, n, key)."""
+    joined: list[list] = []
+    for doc, content, start, end in sorted(spans):
+        if joined and joined[-1][:2] == [doc, content] and start <= joined[-1][3]:
+            joined[-1][3] = max(joined[-1][3], end)
+        else:
+            joined.append([doc, content, start, end])
+    columns = [*zip(*[*((*j, None) for j in joined), *keys], strict=True)] or [()] * 5
+    return _batch(dict(zip(_FOUND, map(list, columns), strict=True)), _FOUND)
+
+
+def packed_text(rows: DataFrame, column: str) -> DataFrame:
+    """The text column as compressed UTF-8, a third of what a shuffle would move; null stays null."""
+    place = rows.columns.index(column)
+    kinds = rows.withColumn(column, F.col(column).cast("binary")).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[place] = pa.array([packed_bytes(t.as_py()) for t in batch.column(place)], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def packed_bytes(text: str | None) -> bytes | None:
+    if text is None:
+        return None
+    data = text_bytes(text)
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unpacked_bytes(data: bytes | None) -> bytes:
+    size = int.from_bytes((data or b"")[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
 def group_runs(docs: DataFrame, asked: DataFrame, window: int, parts: int) -> DataFrame:
-    """`RUNS` of the suffixes that start at the asked groups' anchors.
+    """Sorted, front-coded runs of the suffixes at the asked groups' anchors, by part of the anchor's hash.
 
     A key is the text from the anchor to the end of the last window, then what
-    lies between the first window's start and the anchor, and its length.
+    lies between the first window's start and the anchor, and its length. If a
+    run has a key from several documents, all but the smallest are settled
+    here and only its own places are sent, so a passage that a third of all
+    documents have is one document's entry per run. What is settled comes as
+    stretches.
     """
+    kinds = {"part": pa.int32(), "coded": pa.binary(), "members": pa.binary(), "spans": pa.binary()}
+
+    def rows_of(entries: list[tuple]) -> pa.RecordBatch:
+        spans, by_part = [], {}
+        entries.sort(key=lambda e: (e[0], e[1]))
+        last, least = None, None
+        for key, doc, content, first, n, anchor in entries:
+            if key != last:
+                last, least = key, doc
+            if doc > least:
+                spans.append((doc, content, first, first + n + window - 1))
+            else:
+                by_part.setdefault(anchor % parts, []).append((key, doc, content, first, n))
+        out = {"part": [], "coded": [], "members": [], "spans": []}
+        for part, mine in by_part.items():
+            out["part"].append(part)
+            out["coded"].append(front_coded([e[0] for e in mine]))
+            out["members"].append(pack(np.array([e[1:] for e in mine]).T.ravel()))
+            out["spans"].append(None)
+        if spans:
+            settled = _rows(spans)
+            out["part"].append(entries[0][5] % parts)
+            out["coded"].append(None)
+            out["members"].append(None)
+            out["spans"].append(pack(np.concatenate([settled.column(i).to_numpy() for i in range(4)])))
+        return _batch(out, kinds)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, content = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                data = text_bytes(batch.column(1)[i].as_py())
+                data = unpacked_bytes(batch.column(1)[i].as_py())
                 chosen = np.unique(np.concatenate([unpack(g.as_py()) for g in batch.column(3)[i].values]))
                 first, n, anchor, _, h = groups_of([data], window)
                 chosen = chosen[chosen < len(first)]
-                for f, k, a, x in zip(*(v[chosen].tolist() for v in (first, n, anchor, h.view(np.int64))), strict=True):
+                for f, k, a, x in zip(*(v[chosen].tolist() for v in (first, n, anchor, h)), strict=True):
                     key = data[a : f + k + window - 1] + data[f:a] + (a - f).to_bytes(2, "big")
                     entries.append((key, doc, content, f, k, x))
                 if len(entries) >= SORTED:
-                    yield _runs(entries, parts)
+                    yield rows_of(entries)
                     entries = []
         if entries:
-            yield _runs(entries, parts)
+            yield rows_of(entries)
 
     asked = asked.select(F.col("doc").alias("_doc"), "groups")
-    rows = docs.join(asked, F.col("doc") == F.col("_doc")).select("doc", "text", "content", "groups")
-    return rows.mapInArrow(run, RUNS)
-
+    texts = packed_text(docs.select("doc", "text", "content"), "text")
+    rows = texts.join(asked, F.col("doc") == F.col("_doc")).select("doc", "text", "content", "groups")
+    return rows.mapInArrow(run, "part int, coded binary, members binary, spans binary")
+
+
+def whole_of(key: bytes) -> bytes:
+    """The text of a key's windows, from the first one's start."""
+    left = int.from_bytes(key[-2:], "big")
+    return key[len(key) - 2 - left : -2] + key[: len(key) - 2 - left]
+
+
+def settle(keys: list[tuple[bytes, list]], window: int) -> list[tuple]:
+    """Stretches for the ascending different keys of one anchor with their (doc, content, first, n)."""
+    spans, own = [], []
+    for key, members in keys:
+        least = min(m[0] for m in members)
+        spans += [(d, c, f, f + n + window - 1) for d, c, f, n in members if d > least]
+        own.append((whole_of(key), least, [m for m in members if m[0] == least]))
+    if len(own) > 1:
+        lowest: dict[bytes, int] = {}
+        for whole, doc, members in own:
+            for i in range(members[0][3]):
+                x = whole[i : i + window]
+                if lowest.get(x, doc) >= doc:
+                    lowest[x] = doc
+        for whole, doc, members in own:
+            hits = [i for i in range(members[0][3]) if lowest[whole[i : i + window]] < doc]
+            spans += [(doc, c, f + i, f + i + window) for _, c, f, _ in members for i in hits]
+    return spans
+
+
+def merged(runs: DataFrame, window: int, parts: int) -> DataFrame:
+    """`FOUND`: the runs of each part merged by a loser tree, equal keys and shared windows settled per anchor.
+
+    Keys of one anchor share its bytes and come one after the other. Of an
+    anchor with more than `HELD` different keys all are passed on.
+    """
 
-def merged(runs: DataFrame, parts: int) -> DataFrame:
-    """(`run`, `found`): per run and part the numbers of its keys and the smallest document that has each."""
+    def merge(held: list[tuple[bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        members = [m.reshape(4, -1).T.tolist() for _, m in held]
+        at = [0] * len(held)
+        spans: list[tuple] = []
+        passed: list[tuple] = []
+        keys: list[tuple[bytes, list]] = []
+        many = False
+
+        def pass_on() -> None:
+            passed.extend((*m, key) for key, some in keys for m in some)
+            keys.clear()
+
+        for run, key, shared in LoserTree([decoded(coded) for coded, _ in held]):
+            if shared < GRAM:
+                if many:
+                    pass_on()
+                spans += settle(keys, window)
+                keys, many = [], False
+            if keys and key == keys[-1][0]:
+                keys[-1][1].append(members[run][at[run]])
+            else:
+                if len(keys) >= HELD:
+                    many = True
+                    pass_on()
+                keys.append((key, [members[run][at[run]]]))
+            at[run] += 1
+            if len(spans) + len(passed) > 100_000:
+                yield _rows(spans, passed)
+                spans, passed = [], []
+        if many:
+            pass_on()
+        yield _rows([*spans, *settle(keys, window)], passed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            got = merge_least([x[1] for x in held], [unpack(x[2]) for x in held])
-            rows = {
-                "run": [x[0] for x in held],
-                "part": [part] * len(held),
-                "number": [pack(a) for a, _ in got],
-                "least": [pack(b) for _, b in got],
-            }
-            yield _batch(rows, {"run": pa.string(), "part": pa.int32(), "number": pa.binary(), "least": pa.binary()})
-
         for batch in batches:
             for r in batch.to_pylist():
                 if r["part"] != part and held:
-                    yield from answer()
+                    yield from merge(held)
                     held = []
                 part = r["part"]
-                held.append((r["run"], r["coded"], r["least"]))
+                if r["spans"] is not None:
+                    doc, content, start, end = unpack(r["spans"]).reshape(4, -1)
+                    yield _batch({"doc": doc, "content": content, "start": start, "end": end, "key": [None] * len(doc)}, _FOUND)
+                else:
+                    held.append((r["coded"], unpack(r["members"])))
         if held:
-            yield from answer()
-
-    keys = runs.select("run", F.explode("keys").alias("k")).select("run", "k.part", "k.coded", "k.least")
-    dealt = keys.repartition(parts, "part").sortWithinPartitions("part")
-    answers = dealt.mapInArrow(run, "run string, part int, number binary, least binary")
-    return answers.groupBy("run").agg(F.collect_list(F.struct("part", "number", "least")).alias("found"))
-
+            yield from merge(held)
 
-def judged(runs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Rows of two kinds, told by `anchor`.
+    dealt = runs.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, FOUND)
 
-    Null: a stretch [start, end) of `doc` that windows cover which a smaller
-    document has too; neighbours are joined within a run. Else the first
-    document's own copy of a key: its anchor, number, run, part and place.
-    """
-    out = "doc long, content long, start long, end long, anchor long, number long, run string, part int, place long"
-    names = [x.split()[0] for x in out.split(", ")]
-    kinds = dict(zip(names, (pa.int64(),) * 6 + (pa.string(), pa.int32(), pa.int64()), strict=True))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                answers = {x["part"]: (unpack(x["number"]), unpack(x["least"])) for x in r["found"]}
-                gone, own = [], []
-                for keys, packed in zip(r["keys"], r["members"], strict=True):
-                    number, least = answers[keys["part"]]
-                    place, doc, content, first, n = unpack(packed).reshape(5, -1)
-                    repeats = doc > least[place]
-                    gone.append(np.stack([doc, content, first, first + n + window - 1])[:, repeats])
-                    mine = np.flatnonzero(~repeats)
-                    _, some = np.unique(place[mine], return_index=True)
-                    mine = mine[some]
-                    at = place[mine]
-                    key_part = np.full(len(mine), keys["part"])
-                    own.append(np.stack([doc[mine], content[mine], unpack(keys["anchor"])[at], (key_part << 40) | number[at], key_part, at]))
-                spans = np.concatenate(gone, axis=1)
-                spans = spans[:, np.lexsort((spans[2], spans[1], spans[0]))]
-                if spans.shape[1]:
-                    yield _stretches(spans, kinds)
-                own = np.concatenate(own, axis=1)
-                if size := own.shape[1]:
-                    rows = dict(zip(("doc", "content", "anchor", "number", "part", "place"), own, strict=True))
-                    yield _batch(rows | {"start": [None] * size, "end": [None] * size, "run": [r["run"]] * size}, kinds)
-
-    found = found.select(F.col("run").alias("_run"), "found")
-    rows = runs.join(found, F.col("run") == F.col("_run")).select("run", "keys", "members", "found")
-    return rows.mapInArrow(run, out)
-
-
-def _stretches(spans: np.ndarray, kinds: dict) -> pa.RecordBatch:
-    """Spans in order of document and start, with those that touch made one."""
-    doc, content, start, end = spans
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (content[1:] != content[:-1])
-    # The furthest end so far within a document: ends are set apart by document first.
-    number = np.cumsum(new) - 1
-    wide = int(end.max()) + 1
-    reach = np.maximum.accumulate(end + number * wide) - number * wide
-    new[1:] |= start[1:] > reach[:-1]
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    n = len(at)
-    rows = {"doc": doc[at], "content": content[at], "start": start[at], "end": reach[last]}
-    return _batch(rows | {k: [None] * n for k in ("anchor", "number", "run", "part", "place")}, kinds)
-
-
-def window_runs(runs: DataFrame, partly: DataFrame, window: int, parts: int) -> DataFrame:
-    """`RUNS` of single windows, for the keys named by run, part and place in `partly`."""
+def single_windows(keys: DataFrame, window: int) -> DataFrame:
+    """(`doc`, `content`, `start`, `window`): each window of the passed keys; `start` and `end` hold first and number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[tuple] = []
         for batch in batches:
+            rows = []
             for r in batch.to_pylist():
-                asked: dict[int, dict[int, int]] = {}
-                for x in r["asked"]:
-                    asked.setdefault(x["part"], {})[x["place"]] = x["doc"]
-                for keys, packed in zip(r["keys"], r["members"], strict=True):
-                    if not (places := asked.get(keys["part"])):
-                        continue
-                    at, doc, content, first, n = unpack(packed).reshape(5, -1)
-                    for i, (key, _) in enumerate(decoded(keys["coded"])):
-                        if i not in places:
-                            continue
-                        left = int.from_bytes(key[-2:], "big")
-                        whole = key[len(key) - 2 - left : -2] + key[: len(key) - 2 - left]
-                        a, b = np.searchsorted(at, [i, i + 1])
-                        # Every place that the smallest document has the key at.
-                        for j in range(a, b):
-                            if doc[j] == places[i]:
-                                for k in range(int(n[j])):
-                                    entries.append((whole[k : k + window], int(doc[j]), int(content[j]), int(first[j]) + k, 1, 0))
-                    if len(entries) >= SORTED:
-                        yield _runs(entries, parts)
-                        entries = []
-        if entries:
-            yield _runs(entries, parts)
+                whole = whole_of(r["key"])
+                for i in range(r["end"]):
+                    rows.append({"doc": r["doc"], "content": r["content"], "start": r["start"] + i, "window": whole[i : i + window]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("window", pa.binary())]))
 
-    asked = partly.groupBy("run").agg(F.collect_list(F.struct("part", "place", "doc")).alias("asked"))
-    asked = asked.select(F.col("run").alias("_run"), "asked")
-    rows = runs.join(asked, F.col("run") == F.col("_run")).select("keys", "members", "asked")
-    return rows.mapInArrow(run, RUNS)
+    return keys.mapInArrow(run, "doc long, content long, start long, window binary")
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(`doc`, `content`, `start`, `end`) of bytes covered by windows that start in a smaller document too."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = written(shared_anchors(docs, window, parts), "suffix-shared")
-    runs = written(group_runs(docs, groups, window, parts), "suffix-runs")
-    first = written(judged(runs, merged(runs, parts), window), "suffix-judged")
-    own = first.filter("anchor is not null")
-    kinds = own.groupBy("anchor").agg(F.min("number").alias("_a"), F.max("number").alias("_b")).filter("_a <> _b")
-    kinds = written(kinds.select(F.col("anchor").alias("_anchor")), "suffix-kinds")
-    partly = own.join(kinds, F.col("anchor") == F.col("_anchor"), "left_semi")
-    singles = written(window_runs(runs, partly, window, parts), "suffix-windows")
-    second = judged(singles, merged(singles, parts), window).filter("anchor is null")
+    found = written(merged(group_runs(docs, groups, window, parts), window, parts), "suffix-found")
     columns = ("doc", "content", "start", "end")
-    return first.filter("anchor is null").select(*columns).unionByName(second.select(*columns))
+    spans = found.filter("key is null").select(*columns)
+    passed = found.filter("key is not null")
+    if passed.isEmpty():
+        return spans
+    singles = written(single_windows(passed, window), "suffix-windows")
+    least = singles.groupBy("window").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).filter("_least < _most")
+    least = written(least.select(F.col("window").alias("_window"), "_least"), "suffix-least")
+    rest = singles.join(least, F.col("window") == F.col("_window")).filter("doc > _least")
+    return spans.unionByName(rest.select("doc", "content", "start", (F.col("start") + window).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -372,11 +392,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), _content(F.col(text)).alias("content"))
     spans = repeated_spans(named.filter("doc is not null"), window)
     spans = spans.groupBy("doc", "content").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    d, c, s, t, r = (fresh(docs, x) for x in ("_doc", "_content", "_spans", "_text", "removal"))
+    d, c, s, t, m, r = (fresh(docs, x) for x in ("_doc", "_content", "_spans", "_text", "_mine", "removal"))
     spans = written(spans.select(F.col("doc").alias(d), F.col("content").alias(c), F.col("spans").alias(s)), "suffix-spans")
     others = [x for x in docs.columns if x != text]
-    joined = docs.join(spans, (docs[key].cast("long") == F.col(d)) & (_content(docs[text]) == F.col(c)), "left")
-    rows = joined.select(*[docs[x] for x in others], docs[text].alias(t), s)
+    own = docs.select(*others, F.col(text).alias(t), _content(F.col(text)).alias(m))
+    packed = packed_text(own, t)
+    rows = packed.join(spans, (packed[key].cast("long") == F.col(d)) & (F.col(m) == F.col(c)), "left").select(*others, t, s)
     kind = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,spans:array<struct<start:bigint,end:bigint>>,kept:binary,kept_sha256:string>"
     result = docs.select(*others, F.lit(None).cast(kind).alias(r)).schema
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -384,8 +405,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary()), ("kept_sha256", pa.string())]
     )
 
-    def removal(text: str | None, spans) -> dict:
-        data, out = text_bytes(text), []
+    def removal(packed: bytes | None, spans) -> dict:
+        data, out = unpacked_bytes(packed), []
         kept = data
         if spans is not None:
             mask = covered(len(data), *(spans.field(x).to_numpy(zero_copy_only=False) for x in ("start", "end")))
