@@ -115,8 +115,10 @@ def lookback_floor(as_of, mode: str = "rolling") -> Column:
     raise ValueError(f"unknown look-back mode: {mode}")
 
 
-def strictly_after(upper: Column, lower: Column) -> Column:
-    """`upper > lower`; raises when either moment is missing."""
+def strictly_after(upper: Column, lower: Column, strict: bool = False) -> Column:
+    """`upper > lower`, NULL when either moment is missing; with `strict` a missing one raises."""
+    if not strict:
+        return upper > lower
     return F.when(
         upper.isNull() | lower.isNull(), F.raise_error(F.lit("one or both dates are invalid"))
     ).otherwise(upper > lower)

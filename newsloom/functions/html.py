@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import strip
+from newsloom.functions.text import let, strip
 
 # Entities in replacement order, the ampersand last. Browsers read
 # them without the semicolon as well.
@@ -69,7 +69,7 @@ def paragraphs(fragment: Column) -> Column:
 
     A paragraph ends where the next one starts, so an unclosed one keeps its text.
     """
-    parts = F.slice(F.split(fragment, "<p>"), 2, 1_000_000_000)
+    parts = let(F.split(fragment, "<p>"), lambda p: F.slice(p, 2, F.size(p)))
     return F.filter(F.transform(parts, lambda p: strip(inner_text(p))), lambda p: F.length(p) > 0)
 
 

@@ -26,6 +26,8 @@ PLACE_NAME_RULES = (
 CHUNK_CHARS = 390
 
 _STRINGS = "array<string>"
+#: Finished chunks per block of a fold.
+_BLOCK = 256
 
 
 def let(value: Column, body) -> Column:
@@ -61,9 +63,12 @@ def greedy_chunks(parts: Column, size: int = CHUNK_CHARS) -> Column:
 
     The separator in front of the next part is not counted, a part longer than
     `size` stays whole, and a first part of `size` or more leaves an empty
-    chunk in front of it. One fold per array: linear, no shuffle.
+    chunk in front of it. One fold per array, no shuffle. Finished chunks are
+    gathered in blocks: adding to an array copies it, so a long text's chunks
+    in one array would be copied once per chunk.
     """
     start = F.struct(
+        F.array().cast(f"array<{_STRINGS}>").alias("blocks"),
         F.array().cast(_STRINGS).alias("done"),
         F.lit("").alias("open"),
         F.lit(False).alias("started"),
@@ -73,13 +78,23 @@ def greedy_chunks(parts: Column, size: int = CHUNK_CHARS) -> Column:
         full = F.length(state["open"]) + F.length(part) >= size
         return F.when(
             full,
-            F.struct(
-                F.concat(state["done"], F.array(state["open"])).alias("done"),
-                part.alias("open"),
-                F.lit(True).alias("started"),
+            let(
+                F.concat(state["done"], F.array(state["open"])),
+                lambda done: F.when(
+                    F.size(done) < _BLOCK,
+                    F.struct(state["blocks"].alias("blocks"), done.alias("done"), part.alias("open"), F.lit(True).alias("started")),
+                ).otherwise(
+                    F.struct(
+                        F.concat(state["blocks"], F.array(done)).alias("blocks"),
+                        F.array().cast(_STRINGS).alias("done"),
+                        part.alias("open"),
+                        F.lit(True).alias("started"),
+                    )
+                ),
             ),
         ).otherwise(
             F.struct(
+                state["blocks"].alias("blocks"),
                 state["done"].alias("done"),
                 F.when(state["started"], F.concat(state["open"], F.lit(". "), part))
                 .otherwise(part)
@@ -89,9 +104,10 @@ def greedy_chunks(parts: Column, size: int = CHUNK_CHARS) -> Column:
         )
 
     def finish(state: Column) -> Column:
-        return F.when(
+        rest = F.when(
             state["started"], F.concat(state["done"], F.array(state["open"]))
         ).otherwise(state["done"])
+        return F.concat(F.flatten(state["blocks"]), rest)
 
     return F.aggregate(F.transform(parts, strip), start, step, finish)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from newsloom.functions.dates import as_column, before, lookback_floor
 
 # Fixed value: rows after which a batch takes no further listing page.
-BATCH_CAP = 200
 
 
 def latest(df: DataFrame, column: str = "ts") -> Column:
@@ -124,22 +123,6 @@ def union_lists(*lists: DataFrame) -> DataFrame:
     return result
 
 
-def batch_pages(cards: DataFrame, by: list[str], page: str, cap: int = BATCH_CAP) -> DataFrame:
-    """Whole listing pages in order until a batch holds `cap` rows or more.
-
-    The page that reaches the cap is kept whole; later ones wait for the next
-    batch. Every page has a row, so the first `cap` pages of a list decide, and
-    the rank filter in front of the running count drops the others before the
-    shuffle.
-    """
-    counts = cards.groupBy(*by, page).agg(F.count(F.lit(1)).alias("_n"))
-    order = W.partitionBy(*by).orderBy(page)
-    first = counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap)
-    earlier = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1))
-    kept = first.withColumn("_before", F.coalesce(earlier, F.lit(0))).filter(F.col("_before") < cap)
-    return cards.join(kept.select(*by, page), [*by, page], "left_semi")
-
-
 def recapture_due(rows: DataFrame, as_of, days: int = 3, captured: str = "capture_date") -> DataFrame:
     """Articles without a body, captured at least `days` ago."""
     return rows.filter(

@@ -15,7 +15,6 @@ from newsloom.functions.keys import link_md5
 from newsloom.functions.text import strip
 from newsloom.operators.incremental import first_per_key
 from newsloom.schema import BODY_ROW
-from newsloom.session import spread
 
 
 @dataclass(frozen=True)
@@ -88,7 +87,7 @@ def listing_cards(pages: DataFrame, rule: SiteRule, html: str = "html") -> DataF
     keep = [c for c in pages.columns if c != html]
     cards = F.regexp_extract_all(F.col(html), F.lit(rule.card), F.lit(0))
     return (
-        pos_exploded(spread(pages), keep, cards, "pos", "raw_content")
+        pos_exploded(pages, keep, cards, "pos", "raw_content")
         .withColumn("title", strip(H.inner_text(field(rule.title))))
         .filter("title <> ''")
         .withColumn("link", H.unescape(field(rule.link)))
@@ -169,7 +168,7 @@ def template_bodies(pages: DataFrame) -> DataFrame:
             columns = [pa.array([row[i] for row in kept], pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    routed = spread(pages.filter("html is not null")).select(
+    routed = pages.filter("html is not null").select(
         "article_hash", "html", template_route(F.col("article_link")).alias("route")
     )
     return routed.mapInArrow(extract, BODY_ROW)
@@ -179,7 +178,7 @@ def page_parts(pages: DataFrame, html: str = "html", root: str = "article") -> D
     """Flat pages, JVM only: title, paragraph texts and cleaned content."""
     keep = [c for c in pages.columns if c != html]
     return (
-        spread(pages).select(*keep, H.drop_noise(F.col(html)).alias("_page"))
+        pages.select(*keep, H.drop_noise(F.col(html)).alias("_page"))
         .select(*keep, H.first_element(F.col("_page"), root).alias("raw_content"))
         .select(
             *keep,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.arrays import exploded
 from newsloom.functions.text import CHUNK_CHARS, greedy_chunks, sentences
-from newsloom.session import spread
 
 # The inclusive band of usual body lengths, and the bands looked at.
 USUAL_LENGTH = (500, 5000)
@@ -175,7 +174,7 @@ def chunk_stats(df: DataFrame, body: str = "article_body", size: int = CHUNK_CHA
     keep = [c for c in df.columns if c != body]
     length = F.length(body)
     return (
-        spread(df).select(*keep, length.alias("n_chars"), sentences(F.col(body)).alias("_parts"))
+        df.select(*keep, length.alias("n_chars"), sentences(F.col(body)).alias("_parts"))
         .select(
             *keep,
             "n_chars",

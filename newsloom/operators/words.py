@@ -17,7 +17,7 @@ from newsloom.functions.text import (
     text_or_empty,
     words,
 )
-from newsloom.session import dealt_by, spread
+from newsloom.session import dealt_by
 
 _STRINGS = "array<string>"
 
@@ -52,7 +52,7 @@ def unknown_words(df: DataFrame, key: list[str], words: Column, dictionary: Data
 
 def rare_words(df: DataFrame, key: list[str], text: str, dictionary: DataFrame) -> DataFrame:
     """One row per occurrence of a word the dictionary lacks, with its position."""
-    parts = pos_exploded(spread(df), key, space_parts(F.col(text)), "pos", "word")
+    parts = pos_exploded(df, key, space_parts(F.col(text)), "pos", "word")
     known = dictionary.select(F.lower("word").alias("_known")).distinct()
     return parts.join(known, F.lower("word") == F.col("_known"), "left_anti")
 
@@ -142,7 +142,7 @@ def lexicon_logits(
     so the sums are combined before the shuffle; the planner broadcasts a small
     lexicon and splits frequent words of a large one.
     """
-    looked_up = exploded(spread(df), key, words(letters_only(F.lower(text))), "word")
+    looked_up = exploded(df, key, words(letters_only(F.lower(text))), "word")
     logits = (
         looked_up.join(lexicon, "word")
         .groupBy(*key)

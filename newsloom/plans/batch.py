@@ -10,7 +10,6 @@ from newsloom.operators import incremental as I
 from newsloom.operators import ingest as G
 from newsloom.operators.summarise import summarise_chunks
 from newsloom.schema import ARTICLE
-from newsloom.session import spread
 from newsloom.sources.sinks import absent_rows
 
 # Column of the article table -> column of a completed listing row.
@@ -57,7 +56,7 @@ def load_by_key(
     fresh = absent_rows(union, stored, "article_hash", ["list_no", "pos"]).drop("article_hash")
     complete = G.complete_articles(fresh, bodies, views)
     summary = bullet_summary(F.col("article_body"), method).alias("generated_summary")
-    return to_article(spread(complete).select("*", summary))
+    return to_article(complete.select("*", summary))
 
 
 def load_by_date(

@@ -110,11 +110,10 @@ def central(chunk: str) -> str:
 
 
 def rounds_sql(key: str = "doc_id") -> str:
-    """`rounds`: every round of every usual-length article with the central summary."""
+    """`rounds`: every round of every article with the central summary."""
     summ = f"list_transform(chunks, lambda c: {central('c')})"
     return f"""{ARTICLES},
-  base AS (SELECT {key}, {greedy(sentences('article_body'))} AS g FROM articles
-           WHERE length(article_body) BETWEEN 500 AND 5000),
+  base AS (SELECT {key}, {greedy(sentences('article_body'))} AS g FROM articles),
   first_round AS (SELECT {key}, 1 AS round, {closed('g')} AS chunks FROM base),
   rounds AS (
     SELECT {key}, round, chunks, summaries, {closed('g')} AS nxt
@@ -238,7 +237,7 @@ def place_names(x: str) -> str:
     return x
 
 
-_USUAL = "length(article_body) BETWEEN 500 AND 5000"
+_HAS_BODY = "doc_id % 7 <> 0"
 _EXPORT = f"""WITH {SCORED} SELECT article_hash, article_title, category, publish_date, article_body,
   NULL::VARCHAR AS raw_content, source_entity, article_link, NULL::VARCHAR AS generated_summary,
   negative_score, importance_score FROM scored"""
@@ -306,12 +305,6 @@ def oracles() -> dict[str, str]:
              regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,
              regexp_extract(url, '^https?://([^/]+)/', 1) AS entity, md5(raw) AS raw_md5
       FROM listing"""
-    sql["batch_cap"] = rf"""WITH {_cards()}, rows AS (
-        SELECT regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category, page_id, pos, link FROM listing),
-      counts AS (SELECT category, page_id, count(*) AS n FROM rows GROUP BY ALL),
-      running AS (SELECT *, sum(n) OVER (PARTITION BY category ORDER BY page_id) - n AS before FROM counts)
-      SELECT category, page_id, pos::INTEGER AS pos, md5(link) AS hash_id
-      FROM rows JOIN running USING (category, page_id) WHERE before < 200"""
     sql["page_extract"] = f"""WITH {_pages()} SELECT page_id, title, array_to_string(parts, ' ') AS article_body,
       md5(raw_content) AS raw_md5 FROM page_parts"""
     sql["assemble_body"] = f"""WITH {_pages()}, rows AS (
@@ -330,7 +323,7 @@ def oracles() -> dict[str, str]:
       'https://' || source || '/lista/' || lang || '/' || page AS page_url
       FROM documents, range(1, 8) r(page)"""
     sql["left_merge_bodies"] = f"""WITH {ARTICLES} SELECT doc_id, article_hash, article_title, category,
-      CASE WHEN {_USUAL} THEN length(article_body)::INTEGER END AS body_chars FROM articles"""
+      CASE WHEN {_HAS_BODY} THEN length(article_body)::INTEGER END AS body_chars FROM articles"""
     sql["complete_articles"] = f"""WITH {_pages()}, {_VIEWS},
       one AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM page_parts)
       SELECT md5(p.url) AS hash_id, p.url,
@@ -339,8 +332,8 @@ def oracles() -> dict[str, str]:
              md5(array_to_string(one.parts, ' ')) AS body_md5, view_count
       FROM page_parts p JOIN one ON one.url = p.url AND one.rn = 1 LEFT JOIN views ON note_id = one.page_id"""
     sql["union_lists"] = f"""WITH {ARTICLES}
-      SELECT article_hash, category, doc_id, 0 AS list_no FROM articles WHERE category = 'es'
-      UNION ALL SELECT article_hash, category, doc_id, 1 FROM articles WHERE category = 'en'"""
+      SELECT article_hash, category, doc_id, (list_position(['es', 'en', 'de', 'fr'], category) - 1)::INTEGER AS list_no
+      FROM articles WHERE category IN ('es', 'en', 'de', 'fr')"""
 
     cuts = lambda floor: f"""cuts AS (
         SELECT t.entity, t.category, last_date, greatest(coalesce(last_date, {floor}), {floor}) AS cut_date
@@ -369,7 +362,7 @@ def oracles() -> dict[str, str]:
       SELECT entity, category, CASE WHEN ok = 1 THEN low ELSE least(low, TIMESTAMP '2024-01-01') END AS low_date
       FROM grouped"""
     sql["recapture_candidates"] = f"""WITH {ARTICLES} SELECT article_hash, publish_date AS capture_date
-      FROM articles WHERE NOT ({_USUAL}) AND publish_date <=
+      FROM articles WHERE NOT ({_HAS_BODY}) AND publish_date <=
         (SELECT max(publish_date) FROM articles) + INTERVAL 60 HOURS - INTERVAL 3 DAYS"""
     sql["stream_dedupe"] = f"""WITH {ARRIVALS}, ranked AS (SELECT *, row_number() OVER (
         PARTITION BY article_hash ORDER BY ts, event_id) AS rn FROM arrivals)
@@ -408,10 +401,10 @@ def oracles() -> dict[str, str]:
       marked AS (SELECT *, max(CASE WHEN publish_date <= cut_date THEN 1 ELSE 0 END) OVER (
                    PARTITION BY source_entity, category ORDER BY doc_id DESC) AS stopped FROM cut)
       SELECT article_hash, article_title, category, publish_date, source_entity, article_link,
-             CASE WHEN {_USUAL} THEN md5(article_body) END AS body_md5
+             CASE WHEN {_HAS_BODY} THEN md5(article_body) END AS body_md5
       FROM marked WHERE stopped = 0"""
 
-    sql["drop_null_body"] = "SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE length(text) <= 5000"
+    sql["drop_null_body"] = "SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE doc_id % 7 <> 0"
     sql["outlier_filter"] = (
         "SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE length(text) BETWEEN 500 AND 5000"
     )
@@ -453,9 +446,8 @@ def oracles() -> dict[str, str]:
       ORDER BY doc_id LIMIT 5"""
 
     src = f"""WITH src AS (SELECT doc_id, text AS body, {sentences('text')} AS parts FROM documents)"""
-    usual = "length(body) BETWEEN 500 AND 5000"
     sql["sentences"] = f"{src} SELECT doc_id, pos, chunk AS part FROM ({_chunks('parts')})"
-    folded = f"""{src}, folded AS (SELECT doc_id, {greedy('parts')} AS g FROM src WHERE {usual}),
+    folded = f"""{src}, folded AS (SELECT doc_id, {greedy('parts')} AS g FROM src),
       merged AS (SELECT doc_id, {closed('g')} AS chunks FROM folded)"""
     rows = lambda expr: f"""SELECT doc_id, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk
       FROM (SELECT doc_id, {expr} AS c FROM merged)"""
@@ -553,7 +545,7 @@ def oracles() -> dict[str, str]:
       GROUP BY article_hash HAVING count(*) > 1"""
     for name, test in (("fk_orphans", "NOT"), ("fk_valid", "")):
         sql[name] = f"""SELECT doc_id, md5(doc_id::VARCHAR) AS image_hash FROM labels WHERE doc_id {test} IN
-          (SELECT doc_id FROM documents WHERE length(text) BETWEEN 500 AND 5000)"""
+          (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)"""
     sql["negativity_filter"] = f"""WITH {SCORED} SELECT article_hash, negative_score FROM scored
       WHERE negative_score < 0.5"""
     sql["importance_topk"] = f"""WITH {SCORED}, r AS (SELECT doc_id, category, importance_score,

@@ -12,7 +12,7 @@ from newsloom.functions.arrays import exploded
 from newsloom.functions.rouge import rouge_scores
 from newsloom.functions.text import CHUNK_CHARS, greedy_chunks, let, sentences
 from newsloom.operators.summarise import model_summaries, summarise_chunks
-from newsloom.session import checkpoint, spread
+from newsloom.session import checkpoint
 
 # Fixed value: re-chunking ends when fewer chunks than this are left.
 ENOUGH_CHUNKS = 5
@@ -78,7 +78,7 @@ def rechunk_rounds(
     size: int = CHUNK_CHARS,
 ) -> DataFrame:
     """(key, rounds) per article with the built-in summaries."""
-    return spread(articles.select(*key, body)).select(
+    return articles.select(*key, body).select(
         *key, all_rounds(F.col(body), method, size).alias("rounds")
     )
 
@@ -96,26 +96,30 @@ def rechunk_with_model(
     load_model: Callable,
     body: str = "article_body",
     size: int = CHUNK_CHARS,
-    max_rounds: int = 20,
 ) -> DataFrame:
     """The same loop with a pluggable model: one Spark job per round.
 
     Each round scores the articles still open and is checkpointed, so a lost
-    executor never repeats a model call of an earlier round. A model whose
-    summaries do not shrink need not end: rows still open after `max_rounds`
-    are kept and flagged by `finished = false`.
+    executor never repeats a model call of an earlier round. An article is
+    finished with fewer than five chunks left, with the same chunks again, or
+    with summaries that together are no shorter than their chunks. So the
+    length falls from round to round, and the loop ends by itself.
     """
     chunks = greedy_chunks(sentences(F.col(body)), size)
-    active = spread(articles.select(*key, body)).select(*key, chunks.alias("chunks"))
+    active = articles.select(*key, body).select(*key, chunks.alias("chunks"))
     active = active.filter(F.size("chunks") > 0)
-    recorded = []
-    for number in range(1, max_rounds + 1):
+    recorded, number = [], 0
+    length = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    while number == 0 or not active.isEmpty():
+        number += 1
         scored = active.withColumn("summaries", model_summaries(F.col("chunks"), load_model))
         scored = scored.withColumn("_next", greedy_chunks(F.col("summaries"), size))
         scored = checkpoint(
             scored.withColumn(
                 "finished",
-                (F.size("_next") < ENOUGH_CHUNKS) | (F.col("_next") == F.col("chunks")),
+                (F.size("_next") < ENOUGH_CHUNKS)
+                | (F.col("_next") == F.col("chunks"))
+                | (length(F.col("summaries")) >= length(F.col("chunks"))),
             )
         )
         recorded.append(
@@ -129,8 +133,6 @@ def rechunk_with_model(
             )
         )
         active = scored.filter(~F.col("finished")).select(*key, F.col("_next").alias("chunks"))
-        if active.isEmpty():
-            break
     return reduce(DataFrame.unionByName, recorded)
 
 

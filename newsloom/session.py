@@ -79,20 +79,3 @@ def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work on a small input.
-
-    A table of a few splits would run such work on a few cores. When the
-    planner's size estimate says that the input fills less than one split per
-    core it is dealt out round-robin; a larger input already has a split per
-    task and is left as it is, so nothing is shuffled at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = 4 * 1024 * 1024
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) < cores * split_bytes:
-        return df.repartition(cores)
-    return df

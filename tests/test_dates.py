@@ -62,4 +62,6 @@ def test_days_and_validated_comparison(spark):
     row = df.select(D.days_between(a, b), D.strictly_after(a, b), D.strictly_after(b, a)).first()
     assert tuple(row) == (1.5, True, False)
     with pytest.raises(Exception, match="dates are invalid"):
-        df.select(D.strictly_after(a, F.lit(None).cast("timestamp_ntz"))).collect()
+        df.select(D.strictly_after(a, F.lit(None).cast("timestamp_ntz"), strict=True)).collect()
+    row = df.select(D.strictly_after(a, F.lit(None).cast("timestamp_ntz")).alias("v")).first()
+    assert row.v is None

@@ -105,16 +105,3 @@ def test_union_lists(spark):
     one = spark.createDataFrame([(1,), (1,)], "a int")
     got = I.union_lists(one, one).collect()
     assert sorted((r.a, r.list_no) for r in got) == [(1, 0), (1, 0), (1, 1), (1, 1)]
-
-
-def test_batch_pages_keeps_whole_pages(spark):
-    from itertools import chain
-
-    sizes = {"a": [3, 4, 5, 1], "b": [20, 1], "c": [1] * 15}
-    rows = chain.from_iterable(
-        [(k, p, i) for p, n in enumerate(v) for i in range(n)] for k, v in sizes.items()
-    )
-    cards = spark.createDataFrame(list(rows), "k string, page int, i int")
-    got = I.batch_pages(cards, ["k"], "page", cap=7).groupBy("k").agg(F.count("*").alias("n")).collect()
-    assert {r.k: r.n for r in got} == {"a": 7, "b": 20, "c": 7}
-    assert "WindowGroupLimit" in plan_text(I.batch_pages(cards, ["k"], "page", cap=7))

@@ -1,10 +1,10 @@
 import random
 
 import pytest
-from models import lead, merge, rounds, split_sentences
 from pyspark.sql import functions as F
 
 from newsloom.functions.summary import central_sentence
+from newsloom.functions.text import greedy_chunks
 from newsloom.operators import evaluation as E
 from newsloom.plans import rounds as L
 
@@ -25,11 +25,29 @@ def frame(spark, bodies):
 
 
 @pytest.mark.parametrize("size", [40, 390])
-def test_native_rounds_equal_model(spark, bodies, size):
+def test_each_round_follows_from_the_one_before(spark, bodies, size):
     df = L.rechunk_rounds(frame(spark, bodies), ["id"], method="lead", size=size)
-    got = {r.id: [(x.chunks, x.summaries) for x in r.rounds] for r in df.collect()}
-    assert got == {i: rounds(b, size, lead) for i, b in enumerate(bodies)}
-    assert max(len(r) for r in got.values()) > (2 if size < 390 else 0)
+    again = greedy_chunks(F.col("r.summaries"), size)
+    rows = df.select("id", F.posexplode("rounds").alias("n", "r")).select("id", "n", "r.*", again.alias("next"))
+    got = {}
+    for r in rows.orderBy("id", "n").collect():
+        assert len(r.summaries) == len(r.chunks) and r.round == r.n + 1
+        assert all(s in c for s, c in zip(r.summaries, r.chunks))
+        got.setdefault(r.id, []).append(r)
+    for series in got.values():
+        for one, two in zip(series, series[1:]):
+            assert two.chunks == one.next and len(one.next) >= 5 and one.next != one.chunks
+        assert len(series[-1].next) < 5 or series[-1].next == series[-1].chunks
+    assert max(map(len, got.values())) > (2 if size < 390 else 0)
+
+
+def test_rounds_of_a_written_out_article(spark):
+    body = "aa bb. cc dd. ee. ff gg hh. ii. jj kk. ll. mm nn oo. pp. qq rr"
+    got = L.rechunk_rounds(frame(spark, [body, "." * 600]), ["id"], method="lead", size=8).collect()
+    assert [r.rounds for r in got if r.id == 1] == [[]]
+    rounds = next(r.rounds for r in got if r.id == 0)
+    assert rounds[0].chunks == ["aa bb", "cc dd. ee", "ff gg hh", "ii. jj kk", "ll", "mm nn oo", "pp. qq rr"]
+    assert rounds[0].summaries[0] == "aa bb"
 
 
 def test_rounds_with_a_model_equal_native(spark, bodies):
@@ -44,9 +62,16 @@ def test_rounds_with_a_model_equal_native(spark, bodies):
     native = L.one_row_per_round(L.rechunk_rounds(df, ["id"], method="lead", size=60))
     key = lambda r: (r.id, r.round, r.n_chunks, tuple(r.chunks), tuple(r.summaries))
     assert sorted(map(key, driven.collect())) == sorted(map(key, native.collect()))
-    cut = L.rechunk_with_model(df, ["id"], load, size=60, max_rounds=1)
-    assert cut.count() == native.filter("round = 1").count()
-    assert cut.filter("not finished").count() == native.filter("round = 2").count()
+
+
+def test_a_model_that_shrinks_slowly_finishes(spark):
+    def load():
+        return lambda texts: [t[:-1] if len(t) > 40 else t for t in texts]
+
+    body = ".".join("z" * 75 for _ in range(6))
+    rows = L.rechunk_with_model(frame(spark, [body]), ["id"], load, size=20).orderBy("round").collect()
+    assert len(rows) > 20
+    assert [r.finished for r in rows] == [False] * (len(rows) - 1) + [True]
 
 
 def test_central_sentence(spark):
@@ -93,6 +118,3 @@ def test_expression_is_computed_once(spark, bodies):
     df = L.one_row_per_round(L.rechunk_rounds(frame(spark, bodies), ["id"]))
     assert plan_text(df).count("AS rounds#") == 1
 
-
-def test_model_of_the_tests():
-    assert merge(split_sentences("a" * 10 + ".b"), 10) == ["", "a" * 10, "b"]
