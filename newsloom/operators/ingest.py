@@ -197,13 +197,21 @@ def assemble_body(parts: DataFrame, key: str, pos: str = "pos", text: str = "tex
     )
 
 
-def left_merge(listing: DataFrame, bodies: DataFrame, key: str = "article_hash") -> DataFrame:
-    """Listing rows with their bodies; a failed body leaves NULLs.
+def left_merge(
+    listing: DataFrame,
+    bodies: DataFrame,
+    key: str = "article_hash",
+    order: list[str] | None = None,
+    multiply: bool = False,
+) -> DataFrame:
+    """Listing rows with the body of their link; a failed body leaves NULLs.
 
-    Equal keys on both sides multiply, as in any equi-join: reduce the sides
-    with `first_per_key` where one row per link is wanted.
+    Of the bodies of one link the first in `order` is taken, any one without
+    an order. With `multiply` a listing row comes once per body, as in any
+    equi-join.
     """
-    return listing.join(bodies, key, "left")
+    one = bodies if multiply else first_per_key(bodies, key, order or [key])
+    return listing.join(one, key, "left")
 
 
 def complete_articles(

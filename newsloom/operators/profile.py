@@ -80,11 +80,13 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     v, n = F.col("v").cast("double"), F.col("n")
-    total, first, second = F.sum(n), F.sum(v * n), F.sum(v * v * n)
+    total, first = F.sum(n), F.sum(v * n)
+    # Around the mean: squares of values far from 0 would drown their spread.
+    apart = F.sum(n * F.pow(v - counts.agg(first / total).scalar(), 2))
     return counts.agg(
         F.coalesce(total, F.lit(0)).alias("count"),
         (first / total).alias("mean"),
-        F.when(total > 1, F.sqrt((second - first * first / total) / (total - 1))).alias("std"),
+        F.when(total > 1, F.sqrt(apart / (total - 1))).alias("std"),
         F.min(v).alias("min"),
         F.percentile(v, 0.25, n).alias("p25"),
         F.percentile(v, 0.5, n).alias("p50"),

@@ -60,12 +60,17 @@ def load_by_key(
 
 
 def load_by_date(
-    listing: DataFrame, stored: DataFrame, bodies: DataFrame, as_of, order: str = "pos"
+    listing: DataFrame,
+    stored: DataFrame,
+    bodies: DataFrame,
+    as_of,
+    order: str = "pos",
+    body_order: list[str] | None = None,
 ) -> DataFrame:
     """Article rows to append from one listing per target, newest first.
 
     Every list is read down to its first row that is not newer than the cut. A
-    link listed twice is taken once, with one body; `bodies` are merged from the
+    link listed twice is taken once, with the first body in `body_order`; `bodies` are merged from the
     left, so a failed page leaves NULLs. Nothing is appended when no body at all
     could be read.
     """
@@ -75,7 +80,8 @@ def load_by_date(
     newer = I.take_while_newer(listing, cuts.select(*by, "cut_date"), by, order, "publish_date")
     merged = G.left_merge(
         I.first_per_key(newer, "article_hash", [order]),
-        I.first_per_key(bodies, "article_hash", ["article_body"]),
+        bodies,
+        order=body_order,
     )
     any_body = bodies.limit(1).agg(F.count(F.lit(1))).scalar()
     return to_article(merged.filter(any_body > 0))

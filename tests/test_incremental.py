@@ -62,10 +62,12 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert rows["hot"] == 0 and len(rows) == 20_001
 
 
-def test_left_merge_multiplies(spark):
+def test_left_merge(spark):
     listing = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "article_hash string, n int")
     bodies = spark.createDataFrame([("x", "b"), ("x", "c")], "article_hash string, article_body string")
-    got = left_merge(listing, bodies).collect()
+    first = left_merge(listing, bodies, order=["article_body"]).collect()
+    assert sorted((r.n, r.article_body or "-") for r in first) == [(1, "b"), (2, "b"), (3, "-")]
+    got = left_merge(listing, bodies, multiply=True).collect()
     assert sorted((r.article_hash, r.n, r.article_body or "-") for r in got) == [
         ("x", 1, "b"), ("x", 1, "c"), ("x", 2, "b"), ("x", 2, "c"), ("y", 3, "-"),
     ]

@@ -143,3 +143,9 @@ def test_ranking_and_digest(spark):
     readers = spark.createDataFrame([("r1", "x"), ("r2", "y"), ("r3", "z")], "reader string, category string")
     got = R.digest(df, readers, now, k=2, tie="id").collect()
     assert sorted((r.reader, r.rank, r.id) for r in got) == [("r1", 1, 1), ("r1", 2, 4), ("r2", 1, 6)]
+
+
+def test_deviation_of_values_far_from_zero(spark):
+    rows = spark.createDataFrame([(1e9 + i,) for i in (0.0, 1.0, 2.0, 3.0)], "v double")
+    got = P.describe(rows, F.col("v")).first()
+    assert got["count"] == 4 and got["std"] == pytest.approx(1.2909944487)
