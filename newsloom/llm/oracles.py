@@ -39,4 +39,38 @@ ORACLES = {
                CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id < page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op4_substring_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+          SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+        f AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+        gone AS (
+          SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM g JOIN f USING (h) WHERE doc_id > least),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i)
+          GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+        g AS (
+          SELECT doc_id, p, md5(substr(x, 2 * p + 1, 100)) AS h
+          FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 49)) AS p FROM d WHERE n_bytes >= 50)),
+        f AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+        r AS (
+          SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g JOIN f USING (h) WHERE doc_id > least),
+        i AS (SELECT *, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+        spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k),
+        gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+        heads AS (
+          SELECT doc_id, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head, max(b) AS b,
+                 sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+          FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(heads.b, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN heads USING (doc_id)""",
 }
