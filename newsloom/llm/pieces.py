@@ -208,18 +208,17 @@ def encode_stretches(tables: Pieces, stretches: list[str]) -> tuple[np.ndarray,
     start = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
     end = start + np.repeat(length, n)
     # A character that is no piece by itself is an edge of its own, which goes with everything.
-    width = 1 + (text[first] >= 0xC0).astype(np.int64) + (text[first] >= 0xE0) + (text[first] >= 0xF0)
+    width = 1 + (text >= 0xC0).astype(np.int64) + (text >= 0xE0) + (text >= 0xF0)
     single = np.zeros(len(text) + 1, bool)
-    single[start[end - start == width[np.searchsorted(first, start)]]] = True
+    single[start[end - start == width[start]]] = True
     bare = first[~single[first]]
-    bare_end = bare + width[np.searchsorted(first, bare)]
-    start, end = np.concatenate([start, bare]), np.concatenate([end, bare_end])
+    start, end = np.concatenate([start, bare]), np.concatenate([end, bare + width[bare]])
     piece = np.concatenate([piece, np.full(len(bare), tables.unknown)])
     # Edges by how far from its stretch's start they end: all stretches are relaxed side by side.
-    owner = np.searchsorted(begin, start, side="right") - 1
-    far = end - begin[owner]
+    base = np.repeat(begin, sizes + 1)[start]
+    far = end - base
     by = np.argsort(far, kind="stable")
-    start, end, piece, far, at_start = start[by], end[by], piece[by], far[by], (start == begin[owner])[by]
+    start, end, piece, far, at_start = start[by], end[by], piece[by], far[by], (start == base)[by]
     token = np.full(len(text) + 1, -1, np.int64)
     origin = np.zeros(len(text) + 1, np.int64)
     cuts = np.flatnonzero(np.diff(far, prepend=-1))
