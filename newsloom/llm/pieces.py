@@ -296,7 +296,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", check: bool = True)
     megabytes of them at a time. Where `docs` has a column `encoding` the new
     one gets underscores in front. An empty table gives no rows.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(load(model))
+    tables = load(model)
     kept = [c for c in docs.columns if c != text]
     name = fresh(docs, "encoding")
     kind = "struct<ids:array<int>,decoded:string>" if check else "struct<ids:array<int>>"
@@ -313,12 +313,12 @@ def encoded(docs: DataFrame, model: str, text: str = "text", check: bool = True)
                     texts.append(column[at].as_py())
                     size += len(texts[-1])
                     at += 1
-                ids = encode(tables.value, texts)
+                ids = encode(tables, texts)
                 offsets = np.cumsum([0, *(len(x) for x in ids)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 fields = {"ids": lists}
                 if check:
-                    fields["decoded"] = pa.array([decode(tables.value, x.tolist()) for x in ids], pa.string())
+                    fields["decoded"] = pa.array([decode(tables, x.tolist()) for x in ids], pa.string())
                 struct = pa.StructArray.from_arrays(list(fields.values()), list(fields))
                 columns = [batch.column(i).slice(begin, at - begin) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, struct], result.names)
