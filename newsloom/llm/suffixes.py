@@ -65,7 +65,16 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
     each of a sorted, packed run. So an anchor in a third of all documents is
     one entry per run. Parts are decoded one after the other.
     """
-    kinds = {"part": pa.int32(), "doc": pa.int64(), "packed": pa.list_(pa.binary())}
+    kinds = {"part": pa.int32(), "settled": pa.bool_(), "packed": pa.list_(pa.binary())}
+    by_range = {"part": pa.int32(), "packed": pa.list_(pa.binary())}
+
+    def by_document(doc: np.ndarray, group: np.ndarray) -> dict:
+        """Documents and groups packed by part of the document, one row for each part."""
+        order = np.lexsort((group, doc, doc % parts))
+        doc, group = doc[order], group[order]
+        cuts = np.searchsorted(doc % parts, np.arange(parts + 1))
+        used = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        return {"part": used, "packed": [[pack(x[cuts[p] : cuts[p + 1]]) for x in (doc, group)] for p in used]}
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -78,7 +87,9 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             begin = np.flatnonzero(np.diff(h, prepend=-1))
             end = np.append(begin[1:], len(h)) - 1
             several = np.repeat(doc[begin] != doc[end], end - begin + 1)
-            yield from per_document(doc[several], group[several])
+            if several.any():
+                own = by_document(doc[several], group[several])
+                yield _batch(own | {"settled": [True] * len(own["part"])}, kinds)
             sent = ~several
             sent[begin] = True
             h, doc, group = h[sent], doc[sent], group[sent]
@@ -89,15 +100,7 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             packed = [[pack(np.diff(h[r], prepend=0)), pack(doc[r]), pack(group[r])] if len(r) else None for r in rows]
             used = [p for p in range(parts) if packed[p]]
             if used:
-                yield _batch({"part": used, "doc": [None] * len(used), "packed": [packed[p] for p in used]}, kinds)
-
-        def per_document(doc: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((group, doc))
-            doc, group = doc[order], group[order]
-            begin = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else []
-            pieces = np.split(group, begin[1:]) if len(begin) else []
-            if pieces:
-                yield _batch({"part": doc[begin] % parts, "doc": doc[begin], "packed": [[pack(p)] for p in pieces]}, kinds)
+                yield _batch({"part": used, "settled": [False] * len(used), "packed": [packed[p] for p in used]}, kinds)
 
         for batch in batches:
             at = 0
@@ -129,33 +132,51 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             begin = np.flatnonzero(np.diff(h, prepend=-1))
             end = np.append(begin[1:], len(h)) - 1
             several = np.repeat(doc[begin] != doc[end], end - begin + 1)
-            doc, group = doc[several], group[several]
-            order = np.argsort(doc, kind="stable")
-            doc, group = doc[order], group[order]
-            if len(doc):
-                begin = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-                yield _batch({"doc": doc[begin], "groups": [pack(g) for g in np.split(group, begin[1:])]}, {"doc": pa.int64(), "groups": pa.binary()})
+            if several.any():
+                yield _batch(by_document(doc[several], group[several]), by_range)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                p, d = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                p, settled = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if p != part and rows:
                     yield from found()
                     rows = []
                 part = p
                 values = [x.as_py() for x in batch.column(2)[i].values]
-                if d is not None:  # told by its own task
-                    yield _batch({"doc": [d], "groups": values}, {"doc": pa.int64(), "groups": pa.binary()})
+                if settled:
+                    yield _batch({"part": [p], "packed": [values]}, by_range)
                 else:
                     deltas, doc, group = map(unpack, values)
                     rows.append((np.cumsum(deltas), doc, group))
         if rows:
             yield from found()
 
-    sent = docs.select("doc", "text").mapInArrow(local, "part int, doc long, packed array<binary>")
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+
+        def documents() -> pa.RecordBatch:
+            doc, group = (np.concatenate([r[i] for r in rows]) for i in range(2))
+            order = np.lexsort((group, doc))
+            doc, group = doc[order], group[order]
+            begin = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
+            groups = [pack(g) for g in np.split(group, begin[1:])]
+            return _batch({"doc": doc[begin], "groups": groups}, {"doc": pa.int64(), "groups": pa.binary()})
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (p := batch.column(0)[i].as_py()) != part and rows:
+                    yield documents()
+                    rows = []
+                part = p
+                rows.append([unpack(x.as_py()) for x in batch.column(1)[i].values])
+        if rows:
+            yield documents()
+
+    sent = docs.select("doc", "text").mapInArrow(local, "part int, settled boolean, packed array<binary>")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
-    there = dealt.mapInArrow(across, "doc long, groups binary")
-    return there.groupBy("doc").agg(F.collect_list("groups").alias("groups"))
+    found = dealt.mapInArrow(across, "part int, packed array<binary>")
+    dealt = found.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(together, "doc long, groups binary")
 
 
 def _rows(spans: list[tuple], keys: list[tuple] = ()) -> pa.RecordBatch:
@@ -239,7 +260,7 @@ def group_runs(docs: DataFrame, asked: DataFrame, window: int, parts: int) -> Da
             for i in range(batch.num_rows):
                 doc, content = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 data = unpacked_bytes(batch.column(1)[i].as_py())
-                chosen = np.unique(np.concatenate([unpack(g.as_py()) for g in batch.column(3)[i].values]))
+                chosen = np.unique(unpack(batch.column(3)[i].as_py()))
                 first, n, anchor, _, h = groups_of([data], window)
                 chosen = chosen[chosen < len(first)]
                 for f, k, a, x in zip(*(v[chosen].tolist() for v in (first, n, anchor, h)), strict=True):
@@ -265,6 +286,8 @@ def whole_of(key: bytes) -> bytes:
 
 def settle(keys: list[tuple[bytes, list]], window: int) -> list[tuple]:
     """Stretches for the ascending different keys of one anchor with their (doc, content, first, n)."""
+    if len(keys) < 2 and (not keys or len(keys[0][1]) == 1):
+        return []
     spans, own = [], []
     for key, members in keys:
         least = min(m[0] for m in members)
