@@ -86,6 +86,17 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted((r["doc_id"], r["ids"]) for r in whole) == sorted((r["doc_id"], r["ids"]) for r in last)
 
 
+def test_pipeline_decodes(spark, docs):
+    """The last stage gives a digest of what the library decodes the ids to, which is not always the text."""
+    texts = ["\u2581x", " two  blanks ", "a\n\tb \U0001f600 \u0000", "", None]
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = corpus_pipeline.encode(spark, docs(list(enumerate(texts))), FOLDER).collect()
+    got = {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in rows}
+    ids = [model.encode(t or "") for t in texts]
+    assert got == {k: (x, hashlib.sha256(model.decode(x).encode()).hexdigest()) for k, x in enumerate(ids)}
+    assert model.decode(ids[0]) != texts[0]
+
+
 def test_fingerprint_text(spark):
     frame = spark.createDataFrame([(-1,), (0,), (255,)], "v long")
     assert [r[0] for r in frame.select(simhash.as_hex(frame["v"])).collect()] == ["f" * 16, "0" * 16, "0" * 14 + "ff"]
