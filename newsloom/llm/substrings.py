@@ -139,8 +139,11 @@ def repeated_or_alone(rows: DataFrame) -> DataFrame:
 
 
 def single_windows(docs: DataFrame, groups: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(`doc`, `content`, `one`, `window`, `place`) for each window of the groups, from the texts again."""
-    asked = groups.groupBy("doc", "content").agg(F.collect_list(F.struct("one", "first", "n")).alias("asked"))
+    """(`doc`, `content`, `one`, `window`, `place`) for each window of the groups, from the texts again.
+
+    A row that is repeated is read once, and a group that several rows have is asked for once.
+    """
+    asked = groups.groupBy("doc", "content").agg(F.collect_set(F.struct("one", "first", "n")).alias("asked"))
     asked = asked.select(F.col("doc").alias("_doc"), F.col("content").alias("_same"), "asked")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), _content(F.col(text)).alias("content"))
     rows = rows.join(asked, (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_same")))
@@ -164,7 +167,8 @@ def single_windows(docs: DataFrame, groups: DataFrame, key: str, text: str, wind
                     ["doc", "content", "one", "window", "place"],
                 )
 
-    rows = rows.select("doc", "text", "content", "asked")
+    # Behind the join, where few texts are left.
+    rows = rows.select("doc", "text", "content", "asked").dropDuplicates(["doc", "content"])
     return rows.mapInArrow(run, "doc long, content long, one long, window long, place long")
 
 

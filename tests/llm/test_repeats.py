@@ -74,6 +74,16 @@ def test_words_with_null_keys_and_taken_names(docs):
         substrings.remove_repeats(frame, window=3)
 
 
+def test_single_windows_of_repeated_rows(spark, docs):
+    """n equal rows give each window once, not once for each pair of them."""
+    text = " ".join(f"w{i}" for i in range(12))
+    rows = docs([(1, text)] * 5 + [(2, text)])
+    content = rows.select(substrings._content(rows["text"])).first()[0]
+    groups = spark.createDataFrame([(1, content, 9, 2, 3)] * 5 + [(1, content, 9, 7, 1)] * 5, "doc long, content long, one long, first long, n long")
+    got = substrings.single_windows(rows, groups, "doc_id", "text", 4).collect()
+    assert sorted((r["doc"], r["place"]) for r in got) == [(1, 2), (1, 3), (1, 4), (1, 7)]
+
+
 @pytest.mark.parametrize("packed", [suffixes.PACKED, 50])
 def test_bytes(docs, monkeypatch, packed):
     monkeypatch.setattr(suffixes, "PACKED", packed)
