@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, suffixes, token_counts, toxicity, warc
+from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, suffixes, token_counts, toxicity, warc, whitening
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -93,3 +93,12 @@ def op2_suffix_dedup(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     shown = [f"removal.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     return suffixes.remove_repeats(docs).select("doc_id", *shown)
+
+
+@query
+def op13_embedding_whitening(spark, sf):
+    """A deviation beyond a long is null here; the operator has it as decimal."""
+    rows = whitening.whitened(read_table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    w = F.col("whitening")
+    rows = rows.select("vec_id", w.n.alias("n"), w.deviation.try_cast("long").alias("deviation"), w.identity_error.alias("identity_error"), F.explode(w.components).alias("c"))
+    return rows.select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
