@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, pieces, quality, simhash, substrings, suffixes, token_counts, toxicity, warc, whitening
+from newsloom.llm import fingerprints, mixing, pieces, postings, quality, simhash, substrings, suffixes, token_counts, toxicity, warc, whitening
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -102,3 +102,18 @@ def op13_embedding_whitening(spark, sf):
     w = F.col("whitening")
     rows = rows.select("vec_id", w.n.alias("n"), w.deviation.try_cast("long").alias("deviation"), w.identity_error.alias("identity_error"), F.explode(w.components).alias("c"))
     return rows.select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+@query
+def op12_benchmark_decontamination(spark, sf):
+    rows = postings.benchmark_hits(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    size = lambda c: F.size(f"hits.{c}").cast("long")
+    return rows.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        size("items").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        (F.col("hits.n_hit") > 0).alias("contaminated"),
+        size("near_items").alias("n_near_items"),
+    )
