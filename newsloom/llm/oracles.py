@@ -73,4 +73,75 @@ ORACLES = {
         SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(heads.b, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN heads USING (doc_id)""",
+    "op11_phrase_collocations": r"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+          SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS phrase, 1 AS k FROM w
+          UNION ALL
+          SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) > 1
+          UNION ALL
+          SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3
+          FROM w WHERE len(w) > 2),
+        c AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY lang, phrase, k),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+        f AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE a >= 10),
+        inside AS (
+          SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM f WHERE k = 3),
+        kept AS (
+          SELECT * FROM f WHERE k > 1 AND NOT EXISTS (
+            SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.phrase = f.phrase AND 100 * i.a >= 50 * f.a)),
+        cuts AS (
+          SELECT lang, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM kept
+          UNION ALL
+          SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE k = 3),
+        scored AS (
+          SELECT cuts.lang, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r,
+                 ((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_benchmark_decontamination": r"""
+        WITH i AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        d AS (
+          SELECT row_number() OVER () AS no, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (
+          SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS g
+          FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM q),
+        windows AS (
+          SELECT no, size, p, array_to_string(w[p : p + size - 1], ' ') AS g
+          FROM (SELECT no, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d JOIN sizes ON len(w) >= size)),
+        found AS (SELECT no, p, size, item_id FROM windows JOIN q USING (size, g)),
+        hit AS (
+          SELECT no, count(DISTINCT place) AS n_hit
+          FROM (SELECT no, unnest(range(p, p + size)) AS place FROM (SELECT DISTINCT no, p, size FROM found)) GROUP BY no),
+        items AS (
+          SELECT no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT no, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY no),
+        whole AS (SELECT item_id, list_distinct(w) AS words, 2 * len(w) AS reach FROM i WHERE len(w) > 0 AND item_id IS NOT NULL),
+        rare AS (
+          SELECT item_id, words, reach, unnest(words) AS word FROM whole),
+        places AS (SELECT no, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        known AS (SELECT word, count(*) AS n FROM places WHERE word IN (SELECT word FROM rare) GROUP BY word),
+        anchor AS (
+          SELECT item_id, any_value(words) AS words, any_value(reach) AS reach, arg_min(word, coalesce(n, 0)) AS word
+          FROM rare LEFT JOIN known USING (word) GROUP BY item_id),
+        around AS (
+          SELECT DISTINCT no, item_id, words, w[greatest(1, s) : s + reach - 1] AS part
+          FROM (SELECT no, item_id, words, reach, unnest(range(p - reach + 1, p + 1)) AS s FROM places JOIN anchor USING (word))
+          JOIN d USING (no)),
+        near AS (SELECT no, count(DISTINCT item_id) AS n_near_items FROM around WHERE list_has_all(part, words) GROUP BY no)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(n_near_items, 0)::BIGINT AS n_near_items
+        FROM d LEFT JOIN hit USING (no) LEFT JOIN items USING (no) LEFT JOIN near USING (no)""",
 }

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, mixing, pieces, postings, quality, simhash, substrings, suffixes, token_counts, toxicity, warc, whitening
+from newsloom.llm import (
+    fingerprints,
+    mixing,
+    phrases,
+    pieces,
+    postings,
+    quality,
+    simhash,
+    substrings,
+    suffixes,
+    token_counts,
+    toxicity,
+    warc,
+    whitening,
+)
 from newsloom.session import scratch_path
 from newsloom.sources.tables import read_table
 
@@ -117,3 +131,8 @@ def op12_benchmark_decontamination(spark, sf):
         (F.col("hits.n_hit") > 0).alias("contaminated"),
         size("near_items").alias("n_near_items"),
     )
+
+
+@query
+def op11_phrase_collocations(spark, sf):
+    return phrases.collocations(read_table(spark, sf, "documents"))
