@@ -253,7 +253,10 @@ def matches(index: DataFrame, queries: list, reach: float) -> DataFrame:
     flat = np.array([number[w] for q in queries for w in q.words], np.int32)
     ends = np.cumsum([len(q.words) for q in queries])
     asked = pa.table({"term": pa.array([b"", *terms], pa.binary()), "number": pa.array(range(-1, len(terms)), pa.int32())})
+    small = asked.nbytes <= 2 * QUERY_BYTES
     asked = index.sparkSession.createDataFrame(asked)
+    # A portion is bounded, but for one query longer than the bound; then Spark shuffles.
+    asked = F.broadcast(asked) if small else asked
     rows = index.select("block", "term", "n", "first", "gaps").join(asked, "term").select("block", "number", "n", "first", "gaps")
 
     def evaluated(block: int, held: Block) -> pa.RecordBatch:
