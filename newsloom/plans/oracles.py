@@ -367,6 +367,10 @@ def oracles() -> dict[str, str]:
     sql["stream_dedupe"] = f"""WITH {ARRIVALS}, ranked AS (SELECT *, row_number() OVER (
         PARTITION BY article_hash ORDER BY ts, event_id) AS rn FROM arrivals)
       SELECT event_id, ts, entity, category, article_hash FROM ranked WHERE rn = 1"""
+    sql["stream_return_after_window"] = f"""WITH {ARRIVALS}, w AS (SELECT *, lag(ts) OVER (
+        PARTITION BY article_hash ORDER BY ts, event_id) AS previous FROM arrivals)
+      SELECT event_id, ts, entity, category, article_hash FROM w
+      WHERE previous IS NULL OR ts >= previous + INTERVAL 48 HOURS"""
     sql["stream_watermark_dedupe"] = (
         f"WITH {ARRIVALS} SELECT DISTINCT article_hash, entity, category FROM arrivals"
     )

@@ -397,6 +397,28 @@ def stream_watermark_dedupe(spark, sf):
     return spark.read.parquet(table)
 
 
+@query
+def stream_return_after_window(spark, sf):
+    """The arrivals in five deliveries, a restart of the job for each; keys come back after 48 hours.
+
+    A delivery is all files that came since the last one. The fourth run finds
+    nothing new, and adds nothing.
+    """
+    rows = _stream_keys(read_table(spark, sf, "events"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    low, high = (micros(rows.agg(f("ts")).scalar()) for f in (F.min, F.max))
+    share = (micros(F.col("ts")) - low) / F.greatest(F.lit(1), high - low)
+    inbox, table, log = (scratch_path(spark, f"return-{x}") for x in ("in", "out", "log"))
+    rows.withColumn("slice", F.least(F.lit(4), F.floor(share * 5))).write.partitionBy("slice").parquet(inbox)
+    schema, jobs = rows.schema, dedupe.with_state_store(spark)
+    for n in (0, 1, 2, 2, 3, 4):
+        # Only the folders delivered so far are read.
+        stream = dedupe.read_arrivals(jobs, f"{inbox}/slice=[0-{n}]", schema)
+        passed = dedupe.after_absence(stream, "ts", ["event_id"])
+        dedupe.append_stream(passed, table, log).awaitTermination()
+    return spark.read.schema(schema).parquet(table)
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     # A pattern, because a plain streaming path has to be a folder.
     path = f"{sf.rstrip('/')}/events.parque[t]"

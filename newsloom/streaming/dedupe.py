@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom.sources.sinks import insert_if_absent
 
+#: Keyed state with timers lives in this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_arrivals(
     spark: SparkSession, path: str, schema, max_files: int | None = None
@@ -33,6 +40,76 @@ def drop_seen(stream: DataFrame, ts: str, key: str = "article_hash", hours: int
     )
 
 
+class Absence(StatefulProcessor):
+    """Lets a row pass whose key was not seen for some hours before it, in event time.
+
+    The state of a key is the latest moment it was seen at. A timer at the end of
+    the window clears it, so the store holds the keys of the window only.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], hours: int):
+        self.columns, self.order, self.window = columns, order, hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("us", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = self.seen.get()[0] if self.seen.exists() else None
+        before = last
+        for row in sorted(rows, key=lambda r: (r["_us"], *(r[c] for c in self.order))):
+            if last is None or row["_us"] - last >= self.window:
+                yield Row(**{c: row[c] for c in self.columns})
+            last = row["_us"] if last is None else max(last, row["_us"])
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self.end(before))
+            self.seen.update((last,))
+            self.handle.registerTimer(self.end(last))
+
+    def end(self, last: int) -> int:
+        """The first millisecond behind the window."""
+        return -(-(last + self.window) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def after_absence(
+    stream: DataFrame, ts: str, order: list[str], key: str = "article_hash", hours: int = 48, late: str = "1 hour"
+) -> DataFrame:
+    """Rows whose key was not seen in the `hours` before them; columns unchanged.
+
+    Every arrival counts as seen, whether it passed or not, so a key passes again
+    once it stayed away for `hours`. Rows of one key and moment go by `order`.
+    State and timers survive a restart from the log. Rows that come more than
+    `late` behind the newest moment are dropped, as are rows without a moment. The
+    session needs the store `STATE_STORE` (see `with_state_store`).
+    """
+    columns = stream.columns
+    moments = stream.withColumn("_at", F.col(ts).cast("timestamp")).filter("_at is not null").withWatermark("_at", late)
+    rows = moments.withColumn("_us", F.unix_micros("_at"))
+    return rows.groupBy(key).transformWithState(
+        statefulProcessor=Absence(columns, order, hours),
+        outputStructType=stream.schema,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """A session beside the given one whose new streaming jobs keep their state in `STATE_STORE`."""
+    other = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(name, spark.conf.get(name))
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return other
+
+
 def load_new(
     stream: DataFrame,
     table: str,

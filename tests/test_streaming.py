@@ -48,3 +48,31 @@ def test_watermark_drops_repeats_inside_the_window(spark, tmp_path):
     assert spark.read.parquet(table).groupBy("article_hash").agg(F.count("*").alias("n")).filter(
         "n > 1 and article_hash <> 'a'"
     ).isEmpty()
+
+
+def test_keys_return_after_the_window(spark, tmp_path):
+    src, table, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    batches = files(spark, src)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    jobs = dedupe.with_state_store(spark)
+
+    def run():
+        stream = dedupe.read_arrivals(jobs, f"{src}/*", schema)
+        passed = dedupe.after_absence(stream, "ts", ["n"])
+        dedupe.append_stream(passed, table, log).awaitTermination()
+        return sorted((r.article_hash, r.n) for r in spark.read.schema(schema).parquet(table).collect())
+
+    # All in one delivery: 'a' is back after 58 hours, 'b' after 30, and of equal moments one passes.
+    first = run()
+    assert len(batches) == 8 and first == [("a", 0), ("a", 5), ("b", 1), ("c", 3), ("d", 6)]
+    assert run() == first  # a restart without new files changes nothing
+    later = [("b", 8, START + timedelta(hours=31 + 48)), ("a", 9, START + timedelta(hours=107)), ("a", 10, START + timedelta(hours=155)), ("x", 11, None)]
+    spark.createDataFrame(later, SCHEMA).coalesce(1).write.parquet(f"{src}/f3")
+    assert run() == sorted([*first, ("b", 8), ("a", 10)])  # 47 hours are too few, 48 are enough
+    spark.createDataFrame([("e", 12, START + timedelta(hours=400))], SCHEMA).coalesce(1).write.parquet(f"{src}/f4")
+    run()
+    spark.createDataFrame([("f", 13, START + timedelta(hours=401))], SCHEMA).coalesce(1).write.parquet(f"{src}/f5")
+    assert ("f", 13) in run()
+    # Timers have cleared the keys that stayed away.
+    held = jobs.read.format("statestore").option("stateVarName", "seen").load(log)
+    assert sorted(r.key[0] for r in held.collect()) == ["e", "f"]
