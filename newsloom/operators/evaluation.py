@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.arrays import exploded, pos_exploded
-from newsloom.functions.rouge import mean_metric, tokens
+from newsloom.functions.rouge import known_counts, mean_metric, open_counts, scores_of, tokens
 from newsloom.functions.scoring import metric
 from newsloom.functions.text import text_or_empty
 from newsloom.session import dealt_by
@@ -55,11 +55,34 @@ def rouge1(pairs: DataFrame, key: list[str], reference: str, summary: str) -> Da
     ).select(*key, "overlap", "m.precision", "m.recall", "m.fmeasure")
 
 
-def score_means(scored: DataFrame, scores: str = "scores") -> DataFrame:
-    """Six means per row of an array of scores; the other columns stay."""
+def add_scores(
+    rows: DataFrame,
+    references: str,
+    summaries: str,
+    stem: bool = True,
+    metrics: tuple[str, ...] = ("rouge1", "rougeL"),
+    scores: str = "scores",
+) -> DataFrame:
+    """Adds the scores of the i-th summary against the i-th reference of two arrays.
+
+    What one text holds of the other in a row is counted in the JVM; only other
+    pairs go to Python, and none for unstemmed ROUGE-1.
+    """
+    a, b = F.col(references), F.col(summaries)
+    known = rows.withColumn("_known", known_counts(a, b, stem))
+    if not stem and "rougeL" not in metrics:
+        return known.withColumn(scores, scores_of(F.col("_known"), None, metrics)).drop("_known")
+    counted = known.withColumn("_open", open_counts(a, b, F.col("_known"), stem))
+    return counted.withColumn(scores, scores_of(F.col("_known"), F.col("_open"), metrics)).drop("_known", "_open")
+
+
+def score_means(
+    scored: DataFrame, scores: str = "scores", metrics: tuple[str, ...] = ("rouge1", "rougeL")
+) -> DataFrame:
+    """Three means per metric and row of an array of scores; the other columns stay."""
     keep = [c for c in scored.columns if c != scores]
     return scored.select(
-        *keep, *[mean_metric(F.col(scores), m, f).alias(name) for name, m, f in MEANS]
+        *keep, *[mean_metric(F.col(scores), m, f).alias(name) for name, m, f in MEANS if m in metrics]
     )
 
 

@@ -104,9 +104,11 @@ def central(chunk: str) -> str:
     bag = tokens(f"array_to_string({options}, ' ')")
     mean = f"""coalesce(list_sum(list_transform({tokens('s')},
         lambda w: len(list_filter(b.bag, lambda z: z = w))))::DOUBLE / nullif(len({tokens('s')}), 0), 0)"""
-    return f"""coalesce(list_transform([{{'bag': {bag}, 'opts': {options}}}], lambda b:
+    several = f"""coalesce(list_transform([{{'bag': {bag}, 'opts': {options}}}], lambda b:
       list_transform([list_transform(b.opts, lambda s: {mean})], lambda m:
         b.opts[list_position(m, list_max(m))])[1])[1], '')"""
+    # The only sentence of a chunk needs no counts, however long it is.
+    return f"CASE WHEN len({options}) > 1 THEN {several} ELSE coalesce({options}[1], '') END"
 
 
 def rounds_sql(key: str = "doc_id") -> str:
@@ -145,18 +147,32 @@ def prf(hits: str, ref: str, hyp: str) -> str:
     return f"""{hits} / greatest(len({hyp}), 1)::DOUBLE AS p, {hits} / greatest(len({ref}), 1)::DOUBLE AS r"""
 
 
-def scored_rounds(key: str = "doc_id", source: str = "rounds") -> str:
-    """`pair_scores`: one row per chunk and summary with both metrics."""
+def inside(ref: str, hyp: str) -> str:
+    """Whether the tokens of `hyp` stand in a row in `ref`; then all of them are shared, in order."""
+    padded = lambda x: f"(' ' || array_to_string({x}, ' ') || ' ')"
+    return f"contains({padded(ref)}, {padded(hyp)})"
+
+
+def scored_rounds(key: str = "doc_id", source: str = "rounds", stem: bool = False) -> str:
+    """`pair_scores`: one row per chunk and summary with both metrics.
+
+    Each pair of texts is scored once. With stems a pair has a score only where
+    the summary stands in the chunk as it is, which stems do not change.
+    """
     f = lambda p, r: f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
+    whole = f"len(hyp) = 0 OR {inside('ref', 'hyp')}"
+    other = ("NULL", "NULL") if stem else (overlap("ref", "hyp"), lcs("ref", "hyp"))
     return f""",
   flat AS (SELECT {key}, round, len(chunks) AS n_chunks, unnest(chunks) AS chunk,
                   unnest(summaries) AS summary, unnest(range(len(chunks))) AS pos FROM {source}),
-  toks AS (SELECT *, {tokens('chunk')} AS ref, {tokens('summary')} AS hyp FROM flat),
-  hits AS (SELECT {key}, round, n_chunks, pos, len(ref) AS nr, len(hyp) AS nh,
-                  {overlap('ref', 'hyp')} AS o1, {lcs('ref', 'hyp')} AS ol FROM toks),
+  toks AS (SELECT *, {tokens('chunk')} AS ref, {tokens('summary')} AS hyp FROM (SELECT DISTINCT chunk, summary FROM flat)),
+  hits AS (SELECT chunk, summary, len(ref) AS nr, len(hyp) AS nh,
+                  CASE WHEN {whole} THEN len(hyp) ELSE {other[0]} END AS o1,
+                  CASE WHEN {whole} THEN len(hyp) ELSE {other[1]} END AS ol FROM toks),
   pr AS (SELECT *, o1 / greatest(nh, 1)::DOUBLE AS p1, o1 / greatest(nr, 1)::DOUBLE AS r1,
                 ol / greatest(nh, 1)::DOUBLE AS pl, ol / greatest(nr, 1)::DOUBLE AS rl FROM hits),
-  pair_scores AS (SELECT *, {f('p1', 'r1')} AS f1, {f('pl', 'rl')} AS fl FROM pr)"""
+  pair_scores AS (SELECT {key}, round, n_chunks, pos, p1, r1, pl, rl, {f('p1', 'r1')} AS f1, {f('pl', 'rl')} AS fl
+                  FROM flat JOIN pr USING (chunk, summary))"""
 
 
 MEANS = """,
@@ -496,6 +512,13 @@ def oracles() -> dict[str, str]:
     sql["rougeL"] = f"""WITH {toks}, hits AS (SELECT *, {lcs('ref', 'hyp')} AS o FROM toks),
       pr AS (SELECT *, {prf('o', 'ref', 'hyp')} FROM hits)
       SELECT conv_id, turn, round(p, 5) AS precision, round(r, 5) AS recall, round({f1}, 5) AS fmeasure FROM pr"""
+    report = ", ".join(
+        f"round({v}{n}, 5) AS rouge{m}_{f}"
+        for m, n in (("1", "1"), ("L", "l"))
+        for f, v in (("precision", "p"), ("recall", "r"), ("fmeasure", "f"))
+    )
+    sql["rouge_stemmed"] = f"""WITH RECURSIVE {rounds_sql()}{scored_rounds(stem=True)}
+      SELECT doc_id, round::INTEGER AS round, (pos + 1)::INTEGER AS chunk, {report} FROM pair_scores"""
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in _MEAN_NAMES)
     sql["rouge_means"] = _means_query(
         f"SELECT doc_id, round::INTEGER AS round, n_chunks::INTEGER AS n_chunks, {rounded} FROM means"

@@ -620,9 +620,9 @@ def _rounds(spark: SparkSession, sf: str, key: str = "doc_id") -> DataFrame:
     return L.rechunk_rounds(articles(spark, sf), [key])
 
 
-def _means(spark: SparkSession, sf: str) -> DataFrame:
-    scored = L.score_rounds(L.one_row_per_round(_rounds(spark, sf)), stem=False)
-    return E.score_means(scored.select("doc_id", "round", "n_chunks", "scores"))
+def _means(spark: SparkSession, sf: str, metrics: tuple[str, ...] = ("rouge1", "rougeL")) -> DataFrame:
+    scored = L.score_rounds(L.one_row_per_round(_rounds(spark, sf)), stem=False, metrics=metrics)
+    return E.score_means(scored.select("doc_id", "round", "n_chunks", "scores"), metrics=metrics)
 
 
 @query
@@ -638,23 +638,24 @@ def rechunk_rounds(spark, sf):
 
 @query
 def summarize_extractive(spark, sf):
-    chunks = X.greedy_chunks(F.col("parts"))
-    rows = _parts(spark, sf).select(
-        "doc_id",
-        M.summarise_chunks(chunks, "central").alias("central"),
-        M.summarise_chunks(chunks, "lead").alias("lead"),
+    both_ways = X.let(
+        X.greedy_chunks(F.col("parts")),
+        lambda chunks: F.arrays_zip(
+            M.summarise_chunks(chunks, "central").alias("central"), M.summarise_chunks(chunks, "lead").alias("lead")
+        ),
     )
-    both = pos_exploded(rows, ["doc_id"], F.arrays_zip("central", "lead"), "pos", "s")
+    both = pos_exploded(_parts(spark, sf), ["doc_id"], both_ways, "pos", "s")
     return both.select("doc_id", "pos", "s.central", "s.lead")
 
 
 @query
 def summary_constraints(spark, sf):
     last = F.try_element_at("rounds", F.lit(-1))["summaries"]
-    rows = _rounds(spark, sf).select("doc_id", F.array_join(last, "\n").alias("points"))
-    titles = articles(spark, sf).select("doc_id", "article_title")
+    rows = L.rechunk_rounds(articles(spark, sf), ["doc_id", "article_title"])
+    rows = rows.select("doc_id", "article_title", F.array_join(last, "\n").alias("points"))
     text = F.concat("article_title", F.lit("\n"), "points").alias("summary")
-    return M.summary_checks(rows.join(titles, "doc_id").select("doc_id", text)).drop("summary")
+    # An article without sentences has no rounds, and no summary to check.
+    return M.summary_checks(rows.select("doc_id", text).filter("summary is not null")).drop("summary")
 
 
 @query
@@ -703,7 +704,7 @@ def rouge_gap(spark, sf):
 
 @query
 def rouge_round_delta(spark, sf):
-    rows = _rounded(L.round_changes(_means(spark, sf), ["doc_id"]), ["value", "change"])
+    rows = _rounded(L.round_changes(_means(spark, sf, ("rouge1",)), ["doc_id"]), ["value", "change"])
     return rows.withColumn("change", F.col("change") + 0.0)  # no negative zero
 
 

@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.arrays import exploded
-from newsloom.functions.rouge import rouge_scores
 from newsloom.functions.text import CHUNK_CHARS, greedy_chunks, let, sentences
+from newsloom.operators.evaluation import add_scores
 from newsloom.operators.summarise import model_summaries, summarise_chunks
 from newsloom.session import checkpoint
 
 # Fixed value: re-chunking ends when fewer chunks than this are left.
 ENOUGH_CHUNKS = 5
 
-_STRINGS = "array<string>"
 _ROUNDS = "array<struct<round:int,chunks:array<string>,summaries:array<string>>>"
 
 
@@ -136,9 +135,9 @@ def rechunk_with_model(
     return reduce(DataFrame.unionByName, recorded)
 
 
-def score_rounds(rounds: DataFrame, stem: bool = True) -> DataFrame:
+def score_rounds(rounds: DataFrame, stem: bool = True, metrics: tuple[str, ...] = ("rouge1", "rougeL")) -> DataFrame:
     """ROUGE of each summary against its chunk, per row of chunks and summaries."""
-    return rounds.withColumn("scores", rouge_scores(F.col("chunks"), F.col("summaries"), stem))
+    return add_scores(rounds, "chunks", "summaries", stem, metrics)
 
 
 def last_per_chunk_count(rounds: Column) -> Column:

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from newsloom.functions.rouge import common_length, pair_scores, rouge_score, stemmer, token_list
+from newsloom.functions import rouge
+from newsloom.functions.rouge import common_length, common_lengths, pair_scores, rouge_score, stemmer, token_list
 from newsloom.functions.stemming import porter_stem
 from newsloom.operators import evaluation as E
 from newsloom.operators import words as W
@@ -138,3 +139,41 @@ def test_summary_checks(spark):
     assert [(r.n_bullets, r.n_words, r.is_valid) for r in rows] == [
         (2, 3, True), (6, 7, False), (1, 101, False), (0, 1, True), (0, 0, True),
     ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abcd"), max_size=200), st.lists(st.sampled_from("abcde"), max_size=90)), max_size=12))
+def test_common_lengths_of_many_pairs(pairs):
+    a, b = [list(x) for x, _ in pairs], [list(y) for _, y in pairs]
+    want = [common_length(x, y) for x, y in zip(a, b, strict=True)]
+    assert common_lengths(a, b) == want == common_lengths(b, a)
+
+
+def test_common_lengths_in_parts(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(rouge, "_CELLS", 5000)
+    pairs = [([rng.choice("abcdefgh") for _ in range(rng.randrange(300))], [rng.choice("abcdefgh") for _ in range(rng.randrange(700))]) for _ in range(60)]
+    a, b = zip(*pairs, strict=True)
+    assert common_lengths(list(a), list(b)) == [common_length(x, y) for x, y in pairs]
+    long = ["x"] * 20000 + ["y"] + ["z"] * 3000
+    assert common_lengths([long], [long[1:-1] + ["q"]]) == [len(long) - 2]
+
+
+def test_scores_of_arrays(spark):
+    """Pairs that one text settles and pairs that it does not, stems or not, nulls and unequal arrays."""
+    rng = random.Random(9)
+    words = ["cats", "cat", "running", "run", "a", "the", "sat", "mat", "ponies"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, [text(rng.randrange(12)) for _ in range(4)], [text(rng.randrange(8)) for _ in range(4)]) for i in range(40)]
+    rows += [(50, ["the cat sat"], ["cat sat"]), (51, ["a"], ["the a b"]), (52, ["", "x"], ["", None]), (53, None, ["a"]), (54, ["a", "b"], ["a"]), (55, [], [])]
+    df = spark.createDataFrame(rows, "i int, r array<string>, h array<string>")
+    for stem in (True, False):
+        got = {x.i: x.scores for x in E.add_scores(df, "r", "h", stem).collect()}
+        one = {x.i: x.scores for x in E.add_scores(df, "r", "h", stem, ("rouge1",)).collect()}
+        cut = stemmer(stem)
+        for i, r, h in rows:
+            want = None if r is None else [pair_scores(a, b, cut) for a, b in zip(r, h)]
+            assert (got[i] and [x.asDict(True) for x in got[i]]) == want, (i, stem)
+            assert (one[i] and [x.asDict(True) for x in one[i]]) == (want and [{"rouge1": w["rouge1"]} for w in want])
+    plan = E.add_scores(df, "r", "h", False, ("rouge1",))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
