@@ -177,3 +177,77 @@ def test_scores_of_arrays(spark):
             assert (one[i] and [x.asDict(True) for x in one[i]]) == (want and [{"rouge1": w["rouge1"]} for w in want])
     plan = E.add_scores(df, "r", "h", False, ("rouge1",))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def slow_nearest(word, candidates):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    return min(range(len(candidates)), key=lambda i: (edits(word, candidates[i]), i), default=None)
+
+
+def test_word_places(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "", "B"]), (2, []), (3, ["x"])], "i int, w array<string>")
+    got = {r.i: [(x.word, x.places) for x in r.p] for r in df.select("i", W.word_places(F.col("w")).alias("p")).collect()}
+    assert got == {1: [("", [3]), ("B", [4]), ("a", [1]), ("b", [0, 2])], 2: [], 3: [("x", [0])]}
+
+
+def test_nearest_word_in_a_row(spark):
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcñ") for _ in range(n))
+    rows = [(i, word(rng.randrange(1, 9)), [word(rng.randrange(1, 9)) for _ in range(rng.randrange(12))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, w string, c array<string>")
+    got = {r.i: r.n for r in df.select("i", W.nearest_word(F.col("w"), F.col("c")).alias("n")).collect()}
+    for i, w, c in rows:
+        at = slow_nearest(w, c)
+        assert got[i] == (None if at is None else c[at])
+
+
+def test_index_finds_all_close_words(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    rows = [(i if i else None, [word(rng.randrange(1, 8)) for _ in range(6)] + ["x" * 21, "x" * 20], [word(rng.randrange(1, 8)) for _ in range(8)] + ["x" * 22]) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, a array<string>, c array<string>")
+    got = {r.k: {x.word: x.nearest for x in r.close} for r in W.close_words(df, ["k"], "a", "c").collect()}
+    for k, asked, candidates in rows:
+        for w in set(asked):
+            near = candidates[slow_nearest(w, candidates)]
+            close = _edits(w, near) <= 2 and len(w) <= 20
+            assert (got.get(k, {}).get(w) == near) if close else (w not in got.get(k, {}))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_repairs_do_not_depend_on_the_index(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(30)), " ".join(word() for _ in range(30))) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "k int, article string, summary string")
+    repairs = lambda: sorted((r.k, r.repairs) for r in W.word_repairs(pairs, ["k"], "article", "summary", spark.createDataFrame([("a",)], "word string")).collect())
+    direct = repairs()
+    monkeypatch.setattr(W, "MANY", 1)
+    assert repairs() == direct and any(r for _, r in direct)
+
+
+def test_repairs_of_a_long_article(spark):
+    """5,000 rare words in one article, and summary words near to, and far from, all of them."""
+    rng = random.Random(12)
+    rare = list(dict.fromkeys("".join(rng.choice("bcdfgaeiou") for _ in range(rng.randrange(5, 12))) for _ in range(5200)))[:5000]
+    bent = [w[:2] + "z" + w[3:] for w in rare[100:140]] + ["zzzzzzzzzzzzzzzz", "qwxyzqwxyzqwxyz"] * 2
+    pairs = spark.createDataFrame([(1, " ".join(rare), " ".join(bent)), (2, "known", "strange"), (3, None, None)], "k int, article string, summary string")
+    got = {r.k: [(x.word, x.nearest) for x in r.repairs] for r in W.word_repairs(pairs, ["k"], "article", "summary", spark.createDataFrame([("known",)], "word string")).collect()}
+    seen = {w: rare[slow_nearest(w, rare)] for w in dict.fromkeys(bent[:5] + bent[-4:])}
+    assert [w for w, _ in got[1]] == bent and all(n == seen[w] for w, n in got[1] if w in seen)
+    assert got[2] == [("strange", None)] and got[3] == []
