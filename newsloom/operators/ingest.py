@@ -133,7 +133,11 @@ def read_template(page: str, route: str) -> tuple[str, str] | None:
     """
     roots, header, container = TEMPLATES[route]
     nodes = H.walk(page)
-    root = next((n for name in roots for n in nodes if n.has_class(name)), None)
+    first: dict[str, H.Node] = {}
+    for node in nodes:
+        for name in node.classes:
+            first.setdefault(name, node)
+    root = next((first[name] for name in roots if name in first), None)
     if root is None:
         return None
     if "{id}" in container:
@@ -141,7 +145,7 @@ def read_template(page: str, route: str) -> tuple[str, str] | None:
         if len(number) < 2:
             return None
         container = container.format(id=number[1])
-    within = [n for n in nodes if n.inside(root)]
+    within = nodes[root.number + 1 : root.last + 1]
     body = next((n.text for n in within if n.has_class(header)), "")
     for node in within:
         direct = node.tag == "p" and node.parent is not None and node.parent.has_class(container)

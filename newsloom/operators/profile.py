@@ -162,9 +162,36 @@ def sorted_curve(df: DataFrame, value: Column, bucket: int = 1024, block: int =
     )
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows in a random but repeatable order of their keys."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0, digits: int = 4, few: int = 10_000) -> DataFrame:
+    """Exactly n rows in a random but repeatable order of their keys; all rows, if they are fewer.
+
+    The order is that of a digest of the key. Counts by its first `digits`
+    hex digits, at most 16**digits numbers, tell which rows are in for sure and
+    the one group that the n-th row falls into; only that group, counted again
+    by further digits while it has more than `few` rows, is sorted.
+    """
+    digest = F.coalesce(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), F.lit(""))
+    marked = df.withColumn("_digest", digest)
+    group, left, size = "", n, 0
+    while size < 32:
+        inside = marked.filter(F.substring("_digest", 1, size) == group)
+        counts = inside.groupBy(F.substring("_digest", 1, size + digits).alias("g")).count().collect()
+        size += digits
+        met = None
+        for met in sorted(counts, key=lambda r: r["g"]):
+            if met["count"] >= left:
+                break
+            left -= met["count"]
+        else:
+            if met is None or size == digits:
+                return marked.orderBy("_digest", key).drop("_digest")
+        group = met["g"]
+        if met["count"] <= few:
+            break
+    start = F.substring("_digest", 1, size)
+    edge = marked.filter(start == group).orderBy("_digest", key).limit(left)
+    # In the order of the digests; the sort deals the rows by range.
+    return marked.filter(start < group).unionByName(edge).orderBy("_digest", key).drop("_digest")
 
 
 def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:

@@ -462,6 +462,9 @@ def oracles() -> dict[str, str]:
     sql["avg_sentence_len"] = f"SELECT doc_id, round({mean}, 6) AS mean_len FROM documents"
     sql["sample_n"] = """SELECT doc_id, lang AS category FROM documents
       ORDER BY md5(doc_id || '-7'), doc_id LIMIT 100"""
+    sql["sample_tenth"] = """SELECT doc_id, category FROM (SELECT doc_id, lang AS category,
+        row_number() OVER (ORDER BY md5(doc_id || '-11'), doc_id) AS place, count(*) OVER () AS n FROM documents)
+      WHERE place <= n // 10"""
     sql["head_rows"] = f"""WITH {ARTICLES} SELECT doc_id, article_title, publish_date FROM articles
       ORDER BY doc_id LIMIT 5"""
 
@@ -604,6 +607,30 @@ def oracles() -> dict[str, str]:
         round((epoch_us(as_of) - epoch_us(ts)) / 86400e6, 6) AS days, ts - INTERVAL 24 HOURS AS floor_rolling,
         ts - INTERVAL 24 HOURS - to_hours(hour(ts)) AS floor_midnight, ts - INTERVAL 3 HOURS AS three_hours,
         as_of > ts AS is_older FROM events, top"""
+    months = "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre']"
+    weekdays = "['lunes', 'martes', 'miércoles', 'jueves', 'viernes', 'sábado', 'domingo']"
+    forms = (
+        ("'hace ' || k || ' horas'", "ts - to_hours(k)"),
+        ("'hace un día'", "ts - INTERVAL 1 DAY"),
+        ("'Ayer'", "ts - INTERVAL 1 DAY"),
+        ("'anteayer a las 07:05'", "date_trunc('day', ts) - INTERVAL 2 DAY + INTERVAL 425 MINUTE"),
+        ("k || ' minutes ago'", "ts - to_minutes(k)"),
+        ("'Hace ' || k || ' meses'", "ts - to_months(k::INTEGER)"),
+        ("day(ts) || ' de ' || mes || ' de ' || year(ts)", "date_trunc('day', ts)"),
+        ("strftime(ts, '%B') || ' ' || day(ts) || ', ' || year(ts)", "date_trunc('day', ts)"),
+        ("strftime(ts, '%d') || ' ' || mes[:3] || '. ' || strftime(ts, '%Y %H:%M')", "date_trunc('minute', ts)"),
+        ("'yesterday at 18:30'", "date_trunc('day', ts) - INTERVAL 330 MINUTE"),
+        ("'sin fecha'", "NULL::TIMESTAMP"),
+        ("'hoy'", "ts"),
+        ("'hace ' || k || ' semanas'", "ts - to_days(7 * k::INTEGER)"),
+        ("strftime(ts, '%b') || ' ' || day(ts) || ', ' || strftime(ts, '%Y, %H:%M')", "date_trunc('minute', ts)"),
+        (f"{weekdays}[isodow(ts)] || strftime(ts, ' %d ') || mes || strftime(ts, ', %Y | %H:%M')", "date_trunc('minute', ts)"),
+        ("strftime(ts, '%Y-%m-%d %H:%M:%S')", "date_trunc('second', ts)"),
+    )
+    case = lambda i: " ".join(f"WHEN {n} THEN {form[i]}" for n, form in enumerate(forms))
+    sql["free_dates"] = f"""WITH e AS (SELECT event_id, ts, event_id % 30 + 2 AS k, {months}[month(ts)] AS mes FROM events)
+      SELECT event_id, CASE event_id % {len(forms)} {case(0)} END AS text,
+             CASE event_id % {len(forms)} {case(1)} END AS moment FROM e"""
     sql["scalar_nested"] = """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
       SELECT event_id, k, array_to_string(range(k % 6 + 1), '-') AS range, (k % 6 + 2)::INTEGER AS appended,
         (k % 6)::INTEGER AS last, len(list_filter(range(k % 6 + 1), lambda x: x % 2 = 0))::INTEGER AS even,

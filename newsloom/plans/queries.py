@@ -116,13 +116,16 @@ def append_new_articles(spark, sf):
 
 @query
 def insert_if_absent(spark, sf):
-    """Two runs into one table: new keys only, the first of equal keys wins."""
+    """Three runs into one table kept by key: new keys only, the first of equal keys wins.
+
+    The last run, of an hour, meets the buckets of its few keys only.
+    """
     path = scratch_path(spark, "insert")
     rows = arrivals(spark, sf).select("event_id", "ts", "entity", "category", "link", "article_hash")
-    half = D.before(I.latest(rows), 24 * 15)
-    for batch in (rows.filter(F.col("ts") < half), rows):
-        sinks.insert_if_absent(batch, path, "article_hash", ["entity", "event_id"])
-    return spark.read.parquet(path)
+    half, hour = D.before(I.latest(rows), 24 * 15), D.before(I.latest(rows), 1)
+    for batch in (rows.filter(F.col("ts") < half), rows, rows.filter(F.col("ts") >= hour)):
+        sinks.insert_if_absent(batch, path, "article_hash", ["entity", "event_id"], buckets=16)
+    return spark.read.parquet(path).drop(sinks.BUCKET)
 
 
 @query
@@ -569,6 +572,13 @@ def sample_n(spark, sf):
     return P.sample_rows(articles(spark, sf).select("doc_id", "category"), "doc_id", 100, seed=7)
 
 
+@query
+def sample_tenth(spark, sf):
+    """A tenth of the table, however large that is."""
+    rows = articles(spark, sf).select("doc_id", "category")
+    return P.sample_rows(rows, "doc_id", rows.count() // 10, seed=11)
+
+
 @query
 def head_rows(spark, sf):
     return P.head(articles(spark, sf).select("doc_id", "article_title", "publish_date"), ["doc_id"])
@@ -880,6 +890,39 @@ def scalar_date(spark, sf):
     )
 
 
+def _date_texts(ts: Column, n: Column) -> Column:
+    """A moment in the forms that pages show, by the number of the row."""
+    text = lambda form: F.date_format(ts, form)
+    month = F.element_at(F.array(*[F.lit(m) for m in D.SPANISH_MONTHS]), F.month(ts))
+    k = (n % 30 + 2).cast("string")
+    forms = [
+        F.concat(F.lit("hace "), k, F.lit(" horas")),
+        F.lit("hace un día"),
+        F.lit("Ayer"),
+        F.lit("anteayer a las 07:05"),
+        F.concat(k, F.lit(" minutes ago")),
+        F.concat(F.lit("Hace "), k, F.lit(" meses")),
+        F.concat(text("d"), F.lit(" de "), month, F.lit(" de "), text("yyyy")),
+        F.concat(text("MMMM"), F.lit(" "), text("d"), F.lit(", "), text("yyyy")),
+        F.concat(text("dd"), F.lit(" "), F.substring(month, 1, 3), F.lit(". "), text("yyyy HH:mm")),
+        F.lit("yesterday at 18:30"),
+        F.lit("sin fecha"),
+        F.lit("hoy"),
+        F.concat(F.lit("hace "), k, F.lit(" semanas")),
+        F.concat(text("MMM"), F.lit(" "), text("d"), F.lit(", "), text("yyyy, HH:mm")),
+        D.spanish_text(ts),
+        text("yyyy-MM-dd HH:mm:ss"),
+    ]
+    return F.element_at(F.array(*forms), (n % len(forms) + 1).cast("int"))
+
+
+@query
+def free_dates(spark, sf):
+    """Named, relative and numeric dates, read against the moment of their capture."""
+    rows = read_table(spark, sf, "events").select("event_id", "ts", _date_texts(F.col("ts"), F.col("event_id")).alias("text"))
+    return rows.select("event_id", "text", D.free_date(F.col("text"), F.col("ts")).alias("moment"))
+
+
 @query
 def scalar_nested(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,9 @@ from newsloom.sources.files import CSV_OPTIONS
 # Fixed value: rows per insert batch.
 BATCH_ROWS = 1000
 
+#: Partition column of a table that is kept by key.
+BUCKET = "key_bucket"
+
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """`;` CSV with doubled quotes, replacing what is there.
@@ -43,9 +47,14 @@ def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = N
     df.write.format("jdbc").mode("append").options(url=url, dbtable=table, **options).save()
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table, or None where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -61,19 +70,48 @@ def absent_rows(batch: DataFrame, stored: DataFrame, key: str, order: list[str])
     return firsts.join(stored.select(key), key, "left_anti")
 
 
-def insert_if_absent(batch: DataFrame, path: str, key: str, order: list[str]) -> None:
+def key_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def stored_beside(batch: DataFrame, path: str, key: str, buckets: int) -> DataFrame | None:
+    """Of a table kept by key the buckets that a batch can meet; None where there is no table.
+
+    The buckets of the batch, at most `buckets` numbers, become a partition
+    filter: a small batch reads a small part of a large table.
+    """
+    stored = read_if_there(batch.sparkSession, path, T.StructType([*batch.schema, T.StructField(BUCKET, T.IntegerType())]))
+    if stored is None:
+        return None
+    met = [r[0] for r in batch.select(key_bucket(F.col(key), buckets)).distinct().collect()]
+    return stored.filter(F.col(BUCKET).isin(met))
+
+
+def insert_if_absent(
+    batch: DataFrame, path: str, key: str, order: list[str], buckets: int | None = None
+) -> None:
     """Insert the rows of a batch whose key is new; of equal keys the first wins.
 
     Rows with a missing or empty key are never inserted. A repeated run of the
-    same batch adds nothing.
+    same batch adds nothing. With `buckets` the table is kept by key: it has a
+    partition column `key_bucket`, always the same number of buckets, and a
+    batch is compared with the buckets that its keys fall into, not with the
+    keys of the whole table.
     """
     spark = batch.sparkSession
     batch = batch.filter(F.col(key) != "")
-    if table_exists(spark, path):
-        new = absent_rows(batch, spark.read.schema(batch.schema).parquet(path), key, order)
+    if buckets:
+        stored = stored_beside(batch, path, key, buckets)
+    else:
+        stored = read_if_there(spark, path, batch.schema)
+    new = first_per_key(batch, key, order) if stored is None else absent_rows(batch, stored, key, order)
+    new = new.select(*batch.columns)
+    if buckets:
+        # A file per bucket and batch.
+        bucketed = new.withColumn(BUCKET, key_bucket(F.col(key), buckets)).repartition(BUCKET)
+        append_rows(bucketed, path, [BUCKET])
     else:
-        new = first_per_key(batch, key, order)
-    append_rows(new.select(*batch.columns), path)
+        append_rows(new, path)
 
 
 def image_manifest(listing: DataFrame) -> DataFrame:

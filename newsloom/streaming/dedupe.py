@@ -116,15 +116,16 @@ def load_new(
     checkpoint_location: str,
     order: list[str],
     key: str = "article_hash",
+    buckets: int | None = None,
 ) -> StreamingQuery:
     """Appends the rows with new keys of everything that has arrived, then ends.
 
     Every micro-batch is compared with the table it appends to, so a batch that
-    is repeated after a failure adds nothing.
+    is repeated after a failure adds nothing. `buckets` as in `insert_if_absent`.
     """
 
     def insert(batch: DataFrame, _: int) -> None:
-        insert_if_absent(batch, table, key, order)
+        insert_if_absent(batch, table, key, order, buckets)
 
     return (
         stream.writeStream.foreachBatch(insert)

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +65,26 @@ def test_days_and_validated_comparison(spark):
         df.select(D.strictly_after(a, F.lit(None).cast("timestamp_ntz"), strict=True)).collect()
     row = df.select(D.strictly_after(a, F.lit(None).cast("timestamp_ntz")).alias("v")).first()
     assert row.v is None
+
+
+def test_free_dates_of_capture(spark):
+    now = datetime(2024, 3, 31, 10, 30)
+    cases = {
+        "hace 3 horas": datetime(2024, 3, 31, 7, 30), "Hace  una hora": datetime(2024, 3, 31, 9, 30),
+        "hace 2 días": datetime(2024, 3, 29, 10, 30), "an hour ago": datetime(2024, 3, 31, 9, 30),
+        "1 month ago": datetime(2024, 2, 29, 10, 30), "hace un año": datetime(2023, 3, 31, 10, 30),
+        "90 segundos atrás": datetime(2024, 3, 31, 10, 28, 30), "AYER": datetime(2024, 3, 30, 10, 30),
+        "ayer a las 9:05": datetime(2024, 3, 30, 9, 5), "today 00:00": datetime(2024, 3, 31),
+        "antier": datetime(2024, 3, 29, 10, 30), "29 de febrero de 2024": datetime(2024, 2, 29),
+        "viernes 1 de marzo del 2024, 8:15": datetime(2024, 3, 1, 8, 15), "Sept 5, 2023": datetime(2023, 9, 5),
+        "3rd": None, "July 4th, 2021 at 12:00": datetime(2021, 7, 4, 12), "4 jul. 2021": datetime(2021, 7, 4),
+        "30 de febrero de 2024": None, "12 de nada de 2024": None, "hace mucho": None, "hace 3 lunas": None,
+        "ayer a las 25:00x": None, "3 horas": None, "": None, "   ": None, "2024-02-03": datetime(2024, 2, 3),
+        "hace 999999 horas": datetime(2024, 3, 31, 10, 30) - timedelta(hours=999999),
+    }
+    rows = [(i, t, now) for i, t in enumerate(cases)] + [(99, None, now)]
+    df = spark.createDataFrame(rows, "i int, text string, at timestamp_ntz")
+    got = {r.text: r.d for r in df.select("text", D.free_date(F.col("text"), F.col("at")).alias("d")).collect()}
+    assert {t: got[t] for t in cases} == cases and got[None] is None
+    told = df.filter("text = 'ayer'").select(D.free_date(F.col("text")).alias("d")).collect()
+    assert all(r.d is None for r in told)

@@ -149,3 +149,28 @@ def test_deviation_of_values_far_from_zero(spark):
     rows = spark.createDataFrame([(1e9 + i,) for i in (0.0, 1.0, 2.0, 3.0)], "v double")
     got = P.describe(rows, F.col("v")).first()
     assert got["count"] == 4 and got["std"] == pytest.approx(1.2909944487)
+
+
+def test_insert_reads_the_buckets_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = [(f"k{i % 300}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "article_hash string, n int")
+    assert sinks.stored_beside(df, path, "article_hash", 32) is None
+    for batch in (df, df, spark.createDataFrame([("k1", 0), ("new", 1), ("new", 2), ("", 3), (None, 4)], df.schema)):
+        sinks.insert_if_absent(batch, path, "article_hash", ["n"], buckets=32)
+    got = spark.read.parquet(path).drop(sinks.BUCKET)
+    assert sorted(map(tuple, got.collect())) == sorted([(f"k{i}", i) for i in range(300)] + [("new", 1)])
+    stored = sinks.stored_beside(df.filter("article_hash = 'k7'"), path, "article_hash", 32)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and stored.select(sinks.BUCKET).distinct().count() == 1
+    assert stored.filter("article_hash = 'k7'").count() == 1
+
+
+def test_samples_of_any_size(spark):
+    df = spark.createDataFrame([(i % 700 if i % 50 else None, i) for i in range(1400)], "k long, n int")
+    digest = F.md5(F.concat(F.col("k").cast("string"), F.lit("-3")))
+    order = [r.k for r in df.orderBy(digest, "k").collect()]
+    for n, digits, few in ((0, 4, 10), (1, 1, 1), (27, 1, 3), (28, 2, 1), (29, 4, 10_000), (140, 1, 5), (1399, 2, 1), (1400, 4, 1), (5000, 4, 10)):
+        got = [r.k for r in P.sample_rows(df, "k", n, 3, digits, few).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, order[:n])), (n, digits, few)
+    assert P.sample_rows(df.limit(0), "k", 5).collect() == []

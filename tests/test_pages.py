@@ -1,5 +1,9 @@
+import html as html_module
+import re
 from datetime import datetime
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
@@ -104,3 +108,87 @@ def test_target_pages(spark):
     targets = spark.createDataFrame([("http://x/page/",)], "url string")
     got = [r.page_url for r in G.target_pages(targets).orderBy("page").collect()]
     assert got == [f"http://x/page/{i}" for i in range(1, 8)]
+
+
+# -- the tag walker against a plain one ---------------------------------------
+
+PIECE = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)([^>]*)>|[^<]+|<", re.S)
+
+
+def slow_walk(page):
+    """(tag, attributes, parent's number, start, inner, end, text) of each element; every text is added to all open elements."""
+    out, stack = [], []
+
+    def close(at):
+        out[stack.pop()][5] = at
+
+    def close_to(tag, at):
+        if any(out[i][0] == tag for i in stack):
+            while out[stack[-1]][0] != tag:
+                close(at)
+            close(at)
+
+    for m in PIECE.finditer(page):
+        tag = (m.group(3) or "").lower()
+        if not tag:
+            if m.group(1) is None and not (m.group(0).startswith("<!--") and len(m.group(0)) > 1):
+                for i in stack:
+                    out[i][6] += html_module.unescape(m.group(0))
+        elif m.group(2):
+            close_to(tag, m.start())
+        else:
+            if tag in H.CLOSES_P:
+                close_to("p", m.start())
+            attrs = {k.lower(): v.strip("\"'") for k, v in re.findall(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", m.group(4))}
+            out.append([tag, attrs, stack[-1] if stack else None, m.start(), m.end(), None, ""])
+            if tag in H.VOID or m.group(4).endswith("/"):
+                out[-1][5] = m.end()
+            else:
+                stack.append(len(out) - 1)
+    while stack:
+        close(len(page))
+    return out
+
+
+BITS = st.sampled_from(
+    ["<p>", "</p>", "<div class='a b'>", "</div>", "<br/>", "<b>", "</b>", "<x y=1 z = 'q' >", "text &amp; ", "<", ">", "<!--", "-->", "<!-- c -->",
+     "<script>", "</script>", "<style x>", "</style >", "<h1>", "</h1>", " a=b ", "&lt", "<SCRIPT>", "</x>", "<img src=a>", "\n", "<p a='b' c>"]
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(BITS, max_size=40).map("".join))
+def test_walk_against_a_plain_walker(page):
+    got = [[n.tag, n.attrs, n.parent and n.parent.number, n.start, n.inner, n.end, n.text] for n in H.walk(page)]
+    want = slow_walk(page)
+    assert got == [[*w[:6], " ".join(w[6].split())] for w in want]
+    nodes = H.walk(page)
+    for n in nodes:
+        above, at = set(), n.parent
+        while at is not None:
+            above.add(at.number)
+            at = at.parent
+        assert {m.number for m in nodes if n.inside(m)} == above
+
+
+def test_walk_is_linear():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        G.read_template(page, "normal")
+        return time.process_time() - start
+
+    head = '<div class="post" id="post-1"><h1 class="post-excerpt">x</h1><div class="banners-contenido-nota-1">'
+    pages = {
+        "deep": lambda n: head + "<div>" * n + "t" + "</div>" * n,
+        "unclosed": lambda n: head + "<section>word " * n,
+        "strays": lambda n: head + "<div>" * n + "</b>" * n,
+        "comments": lambda n: head + "<!-- <script " * n,
+        "no end": lambda n: head + "<a b" * n,
+        "attributes": lambda n: head + "<div " + "a" * 20 * n + ">",
+    }
+    for name, page in pages.items():
+        seconds(page(1000))
+        few, many = min(seconds(page(10_000)) for _ in range(3)), min(seconds(page(80_000)) for _ in range(2))
+        assert many < 24 * few + 0.2, (name, few, many)
