@@ -10,7 +10,6 @@ byte-pair encoding, without a merge ever being carried out on the text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.lexing import stable_order
 from newsloom.llm.words import fresh
 
 SPACE = "▁"
+#: Characters of text that a task encodes at once; a longer text goes alone.
+TEXTS = 1 << 23
 
 
 @dataclass
@@ -37,8 +39,9 @@ class Pieces:
     pairs: np.ndarray  #: left * n + right of all pairs whose union is a piece, ascending
     pair_rank: np.ndarray
     byte_ids: np.ndarray
-    alone: set[str]  #: characters that are pieces
-    stretch: re.Pattern
+    first: np.ndarray  #: of each of `ids` the first 8 bytes as a number, filled up with zero bytes,
+    past: np.ndarray  #: and with the highest ones
+    parts: dict  #: of those with more bytes: the numbers of the following ones
 
     @property
     def unknown(self) -> int:
@@ -101,7 +104,12 @@ def load(path: str) -> Pieces:
     ids = np.array(sorted(reachable, key=lambda i: coded[i]), np.int64)
     tables = Pieces(
         coded, [*decoded, b""], ids, rank, left, right, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), byte_ids,
-        {t for t in score if len(t) == 1}, re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"),
+        _eights(coded, ids, b"\0"), _eights(coded, ids, b"\xff"),
+        {
+            j: [tuple(np.uint64(_number(coded[i][at : at + 8], fill)) for fill in (b"\0", b"\xff")) for at in range(8, len(coded[i]), 8)]
+            for j, i in enumerate(ids.tolist())
+            if len(coded[i]) > 8
+        },
     )
     probe = "  A probe:\ttwo  spaces, é 中\U0001f600 ﬁ 12345 <s>\n"
     if encode(tables, [probe])[0].tolist() != model.encode(probe):
@@ -109,6 +117,14 @@ def load(path: str) -> Pieces:
     return tables
 
 
+def _number(part: bytes, fill: bytes) -> int:
+    return int.from_bytes(part.ljust(8, fill), "big")
+
+
+def _eights(coded: list[bytes], ids: np.ndarray, fill: bytes) -> np.ndarray:
+    return np.array([_number(coded[i][:8], fill) for i in ids.tolist()], np.uint64)
+
+
 def suffix_array(text: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """`starts` in the order of what follows them, up to a zero byte or `reach` bytes, and sort keys of 8 bytes each.
 
@@ -147,16 +163,16 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.n
 
 def occurrences(tables: Pieces, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each of `tables.ids` the range of the suffix array that starts with its text, by binary search."""
-    texts = [tables.texts[i] for i in tables.ids]
-    number = lambda part, fill: int.from_bytes(part.ljust(8, fill), "big")
-    low = np.searchsorted(keys[0], np.array([number(t[:8], b"\0") for t in texts], np.uint64), "left")
-    high = np.searchsorted(keys[0], np.array([number(t[:8], b"\xff") for t in texts], np.uint64), "right")
-    for j, t in enumerate(texts):
-        depth = 8
-        while len(t) > depth and low[j] < high[j]:
-            part, span = t[depth : depth + 8], keys[depth // 8][low[j] : high[j]]
-            a, b = np.searchsorted(span, np.uint64(number(part, b"\0"))), np.searchsorted(span, np.uint64(number(part, b"\xff")), "right")
-            low[j], high[j], depth = low[j] + a, low[j] + b, depth + 8
+    low = np.searchsorted(keys[0], tables.first, "left")
+    high = np.searchsorted(keys[0], tables.past, "right")
+    for j, parts in tables.parts.items():
+        a, b = int(low[j]), int(high[j])
+        for depth, (least, most) in enumerate(parts, 1):
+            if a == b:
+                break
+            span = keys[depth][a:b]
+            a, b = a + int(np.searchsorted(span, least)), a + int(np.searchsorted(span, most, "right"))
+        low[j], high[j] = a, b
     return low, high
 
 
@@ -188,17 +204,15 @@ def holds(tables: Pieces, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return good
 
 
-def encode_stretches(tables: Pieces, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_stretches(tables: Pieces, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all stretches in order, number of ids of each); no piece crosses from one to another."""
-    coded = [s.encode() for s in stretches]
     sizes = np.array([len(c) for c in coded], np.int64)
     text = np.frombuffer(b"\0".join(coded) + b"\0", np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
     reach = max(len(tables.texts[i]) for i in tables.ids)
-    inside = text != 0
-    for at, c in zip(begin.tolist(), coded, strict=True):
-        if b"\0" in c:
-            inside[at : at + len(c)] = True
+    # A zero byte is an end only where a stretch ends.
+    inside = np.ones(len(text), bool)
+    inside[begin + sizes] = False
     first = np.flatnonzero(inside & ((text & 0xC0) != 0x80))
     order, keys = suffix_array(text, first, reach)
     low, high = occurrences(tables, keys)
@@ -217,7 +231,7 @@ def encode_stretches(tables: Pieces, stretches: list[str]) -> tuple[np.ndarray,
     # Edges by how far from its stretch's start they end: all stretches are relaxed side by side.
     base = np.repeat(begin, sizes + 1)[start]
     far = end - base
-    by = np.argsort(far, kind="stable")
+    by = stable_order(far)
     start, end, piece, far, at_start = start[by], end[by], piece[by], far[by], (start == base)[by]
     token = np.full(len(text) + 1, -1, np.int64)
     origin = np.zeros(len(text) + 1, np.int64)
@@ -238,7 +252,7 @@ def encode_stretches(tables: Pieces, stretches: list[str]) -> tuple[np.ndarray,
         place[alive] = origin[place[alive]]
         alive = alive[place[alive] > begin[alive]]
     if not steps:
-        return np.zeros(0, np.int64), np.zeros(len(stretches), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(coded), np.int64)
     places, of = np.concatenate(steps[::-1]), np.concatenate(of[::-1])
     by = np.argsort(of, kind="stable")
     places, of = places[by], of[by]
@@ -250,18 +264,37 @@ def encode_stretches(tables: Pieces, stretches: list[str]) -> tuple[np.ndarray,
         begins = np.repeat(origin[places] - np.cumsum(count) + count, count) + np.arange(count.sum())
         mask = np.repeat(unknown, count)
         out[mask] = tables.byte_ids[text[begins[mask]]]
-    return out, np.bincount(np.repeat(of, count), minlength=len(stretches))
+    return out, np.bincount(np.repeat(of, count), minlength=len(coded))
 
 
-def encode(tables: Pieces, texts: list[str], block: int = 1 << 19) -> list[np.ndarray]:
-    """The ids of each text. Distinct stretches are matched in blocks of about so many characters."""
-    number: dict[str, int] = {}
-    rows = []
-    for text in texts:
-        marked = SPACE + text.replace(" ", SPACE) if text else ""
-        rows.append(np.array([number.setdefault(s, len(number)) for s in tables.stretch.findall(marked)], np.int64))
+def stretches(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each stretch of the texts, the distinct stretches, stretches of each text).
+
+    A line end is a stretch, and so is a run of spaces with the characters up
+    to the next space or line end. A text has a space in front. Spaces are `SPACE` in what is given back.
+    """
+    coded = [b" " + t.encode(errors="surrogatepass").replace(SPACE.encode(), b" ") if t else b"" for t in texts]
+    data = b"".join(coded)
+    raw = np.frombuffer(data, np.uint8)
+    new = np.zeros(len(raw), bool)
+    line, space = raw == 10, raw == 32
+    new[1:] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+    sizes = np.array([len(c) for c in coded], np.int64)
+    ends = np.cumsum(sizes)
+    begins = (ends - sizes)[sizes > 0]
+    new[begins] = True
+    starts = np.flatnonzero(new)
+    offsets = np.append(starts, len(raw)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    distinct = [s.replace(b" ", SPACE.encode()) for s in found.dictionary.to_pylist()]
+    return found.indices.to_numpy().astype(np.int64), distinct, np.diff(np.searchsorted(starts, np.append(0, ends)))
+
+
+def encode_all(tables: Pieces, texts: list[str], block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in order, number of ids of each). Distinct stretches are matched in blocks of about so many bytes."""
+    rows, distinct, per_text = stretches(texts)
     ids, counts, held, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-    for s in number:
+    for s in distinct:
         held.append(s)
         size += len(s)
         if size >= block:
@@ -274,12 +307,18 @@ def encode(tables: Pieces, texts: list[str], block: int = 1 << 19) -> list[np.nd
         ids.append(a)
         counts.append(b)
     ids, counts = np.concatenate(ids), np.concatenate(counts)
-    begins = np.cumsum(counts) - counts
-    out = []
-    for row in rows:
-        n = counts[row]
-        out.append(ids[np.repeat(begins[row] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-    return out
+    n = counts[rows]
+    places = np.repeat((np.cumsum(counts) - counts)[rows] - np.cumsum(n) + n, n)
+    places += np.arange(len(places))
+    ends = np.cumsum(per_text)
+    total = np.append(0, np.cumsum(n))
+    return ids.astype(np.int32)[places], total[ends] - total[ends - per_text]
+
+
+def encode(tables: Pieces, texts: list[str], block: int = 1 << 19) -> list[np.ndarray]:
+    """The ids of each text."""
+    ids, counts = encode_all(tables, texts, block)
+    return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
 
 
 def decode(tables: Pieces, ids: list[int]) -> str:
@@ -293,7 +332,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", check: bool = True)
 
     `model` is the path of the model file on the driver; its tables travel to
     the tasks. Null and empty texts have no ids. Whole texts are encoded, some
-    megabytes of them at a time. Where `docs` has a column `encoding` the new
+    megabytes of them at a time; repeated rows each keep their row. Where `docs` has a column `encoding` the new
     one gets underscores in front. An empty table gives no rows.
     """
     tables = load(model)
@@ -309,16 +348,16 @@ def encoded(docs: DataFrame, model: str, text: str = "text", check: bool = True)
             at, column = 0, batch.column(len(kept))
             while at < batch.num_rows:
                 begin, texts, size = at, [], 0
-                while at < batch.num_rows and (not texts or size < 1 << 22):
+                while at < batch.num_rows and (not texts or size < TEXTS):
                     texts.append(column[at].as_py())
                     size += len(texts[-1])
                     at += 1
-                ids = encode(tables, texts)
-                offsets = np.cumsum([0, *(len(x) for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                ids, counts = encode_all(tables, texts)
+                offsets = np.append(0, np.cumsum(counts))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 fields = {"ids": lists}
                 if check:
-                    fields["decoded"] = pa.array([decode(tables, x.tolist()) for x in ids], pa.string())
+                    fields["decoded"] = pa.array([decode(tables, ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
                 struct = pa.StructArray.from_arrays(list(fields.values()), list(fields))
                 columns = [batch.column(i).slice(begin, at - begin) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, struct], result.names)
