@@ -28,12 +28,14 @@ GRAM = 16
 BITS = 48
 #: Bytes of text hashed at once, anchors packed at once, and keys sorted at once in a task.
 BLOCK, PACKED, SORTED = 1 << 21, 1 << 20, 200_000
+#: Bytes of all texts for each part of the exchanges.
+PART = 16 << 20
 #: Different keys of one anchor that are compared in memory; the windows of more are grouped by Spark.
 HELD = 20_000
 
 #: What tasks find: a covered stretch of a document, or a key whose windows are still to be grouped.
-FOUND = "doc long, content long, start long, end long, key binary"
-_FOUND = {"doc": pa.int64(), "content": pa.int64(), "start": pa.int64(), "end": pa.int64(), "key": pa.binary()}
+FOUND = "doc long, content long, start long, end long, last long, key binary"
+_FOUND = {"doc": pa.int64(), "content": pa.int64(), "start": pa.int64(), "end": pa.int64(), "last": pa.int64(), "key": pa.binary()}
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -173,21 +175,21 @@ def shared_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             yield documents()
 
     sent = docs.select("doc", "text").mapInArrow(local, "part int, settled boolean, packed array<binary>")
-    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     found = dealt.mapInArrow(across, "part int, packed array<binary>")
-    dealt = found.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = found.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     return dealt.mapInArrow(together, "doc long, groups binary")
 
 
 def _rows(spans: list[tuple], keys: list[tuple] = ()) -> pa.RecordBatch:
-    """`FOUND` rows from (doc, content, start, end), those that touch made one, and (doc, content, first, n, key)."""
+    """`FOUND` rows from (doc, content, start, end), those that touch made one, and (doc, content, first, n, last, key)."""
     joined: list[list] = []
     for doc, content, start, end in sorted(spans):
         if joined and joined[-1][:2] == [doc, content] and start <= joined[-1][3]:
             joined[-1][3] = max(joined[-1][3], end)
         else:
             joined.append([doc, content, start, end])
-    columns = [*zip(*[*((*j, None) for j in joined), *keys], strict=True)] or [()] * 5
+    columns = [*zip(*[*((*j, None, None) for j in joined), *keys], strict=True)] or [()] * 6
     return _batch(dict(zip(_FOUND, map(list, columns), strict=True)), _FOUND)
 
 
@@ -231,20 +233,24 @@ def group_runs(docs: DataFrame, asked: DataFrame, window: int, parts: int) -> Da
 
     def rows_of(entries: list[tuple]) -> pa.RecordBatch:
         spans, by_part = [], {}
-        entries.sort(key=lambda e: (e[0], e[1]))
-        last, least = None, None
+        entries.sort()
+        last, least, mine = None, None, None
         for key, doc, content, first, n, anchor in entries:
             if key != last:
-                last, least = key, doc
+                last, least, mine = key, doc, None
             if doc > least:
                 spans.append((doc, content, first, first + n + window - 1))
+            elif mine is not None and mine[2] == content and first - mine[5] <= window:
+                # A key that comes again this near, as in a run of one character: its windows cover all between.
+                mine[5] = first
             else:
-                by_part.setdefault(anchor % parts, []).append((key, doc, content, first, n))
+                mine = [key, doc, content, first, n, first]
+                by_part.setdefault(anchor % parts, []).append(mine)
         out = {"part": [], "coded": [], "members": [], "spans": []}
         for part, mine in by_part.items():
             out["part"].append(part)
             out["coded"].append(front_coded([e[0] for e in mine]))
-            out["members"].append(pack(np.array([e[1:] for e in mine]).T.ravel()))
+            out["members"].append(pack(np.array([e[1:] for e in mine]).T.ravel()))  # doc, content, first, n, last
             out["spans"].append(None)
         if spans:
             settled = _rows(spans)
@@ -263,12 +269,16 @@ def group_runs(docs: DataFrame, asked: DataFrame, window: int, parts: int) -> Da
                 chosen = np.unique(unpack(batch.column(3)[i].as_py()))
                 first, n, anchor, _, h = groups_of([data], window)
                 chosen = chosen[chosen < len(first)]
-                for f, k, a, x in zip(*(v[chosen].tolist() for v in (first, n, anchor, h)), strict=True):
-                    key = data[a : f + k + window - 1] + data[f:a] + (a - f).to_bytes(2, "big")
-                    entries.append((key, doc, content, f, k, x))
-                if len(entries) >= SORTED:
-                    yield rows_of(entries)
-                    entries = []
+                at = 0
+                while at < len(chosen):
+                    some = chosen[at : at + SORTED - len(entries)]
+                    at += len(some)
+                    for f, k, a, x in zip(*(v[some].tolist() for v in (first, n, anchor, h)), strict=True):
+                        key = data[a : f + k + window - 1] + data[f:a] + (a - f).to_bytes(2, "big")
+                        entries.append((key, doc, content, f, k, x))
+                    if len(entries) >= SORTED:
+                        yield rows_of(entries)
+                        entries = []
         if entries:
             yield rows_of(entries)
 
@@ -285,13 +295,13 @@ def whole_of(key: bytes) -> bytes:
 
 
 def settle(keys: list[tuple[bytes, list]], window: int) -> list[tuple]:
-    """Stretches for the ascending different keys of one anchor with their (doc, content, first, n)."""
+    """Stretches for the ascending different keys of one anchor with their (doc, content, first, n, last)."""
     if len(keys) < 2 and (not keys or len(keys[0][1]) == 1):
         return []
     spans, own = [], []
     for key, members in keys:
         least = min(m[0] for m in members)
-        spans += [(d, c, f, f + n + window - 1) for d, c, f, n in members if d > least]
+        spans += [(d, c, f, last + n + window - 1) for d, c, f, n, last in members if d > least]
         own.append((whole_of(key), least, [m for m in members if m[0] == least]))
     if len(own) > 1:
         lowest: dict[bytes, int] = {}
@@ -302,7 +312,7 @@ def settle(keys: list[tuple[bytes, list]], window: int) -> list[tuple]:
                     lowest[x] = doc
         for whole, doc, members in own:
             hits = [i for i in range(members[0][3]) if lowest[whole[i : i + window]] < doc]
-            spans += [(doc, c, f + i, f + i + window) for _, c, f, _ in members for i in hits]
+            spans += [(doc, c, f + i, last + i + window) for _, c, f, _, last in members for i in hits]
     return spans
 
 
@@ -314,7 +324,7 @@ def merged(runs: DataFrame, window: int, parts: int) -> DataFrame:
     """
 
     def merge(held: list[tuple[bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        members = [m.reshape(4, -1).T.tolist() for _, m in held]
+        members = [m.reshape(5, -1).T.tolist() for _, m in held]
         at = [0] * len(held)
         spans: list[tuple] = []
         passed: list[tuple] = []
@@ -356,18 +366,20 @@ def merged(runs: DataFrame, window: int, parts: int) -> DataFrame:
                 part = r["part"]
                 if r["spans"] is not None:
                     doc, content, start, end = unpack(r["spans"]).reshape(4, -1)
-                    yield _batch({"doc": doc, "content": content, "start": start, "end": end, "key": [None] * len(doc)}, _FOUND)
+                    none = [None] * len(doc)
+                    yield _batch({"doc": doc, "content": content, "start": start, "end": end, "last": none, "key": none}, _FOUND)
                 else:
                     held.append((r["coded"], unpack(r["members"])))
         if held:
             yield from merge(held)
 
-    dealt = runs.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = runs.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     return dealt.mapInArrow(run, FOUND)
 
 
 def single_windows(keys: DataFrame, window: int) -> DataFrame:
-    """(`doc`, `content`, `start`, `window`): each window of the passed keys; `start` and `end` hold first and number."""
+    """(`doc`, `content`, `start`, `last`, `window`): each window of the passed keys; `start` and `end` hold first and number."""
+    kinds = pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,19 +387,38 @@ def single_windows(keys: DataFrame, window: int) -> DataFrame:
             for r in batch.to_pylist():
                 whole = whole_of(r["key"])
                 for i in range(r["end"]):
-                    rows.append({"doc": r["doc"], "content": r["content"], "start": r["start"] + i, "window": whole[i : i + window]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("window", pa.binary())]))
+                    place = {"start": r["start"] + i, "last": r["last"] + i, "window": whole[i : i + window]}
+                    rows.append({"doc": r["doc"], "content": r["content"], **place})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return keys.mapInArrow(run, "doc long, content long, start long, window binary")
+    return keys.mapInArrow(run, "doc long, content long, start long, last long, window binary")
+
+
+def same_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(`doc`, `content`, `n_bytes`) of the documents whose whole text a smaller document has too, and the bytes of all."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc", "content", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = written(rows, "suffix-contents")
+    least = rows.groupBy("digest").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).filter("_least < _most")
+    least = written(least.select(F.col("digest").alias("_digest"), "_least"), "suffix-same")
+    later = rows.join(least, F.col("digest") == F.col("_digest")).filter("doc > _least")
+    return written(later.select("doc", "content", "n_bytes").distinct(), "suffix-copies"), rows.agg(F.sum("n_bytes")).first()[0] or 0
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """(`doc`, `content`, `start`, `end`) of bytes covered by windows that start in a smaller document too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(`doc`, `content`, `start`, `end`) of bytes covered by windows that start in a smaller document too.
+
+    A document whose whole text a smaller one has goes as a whole, and what it
+    would take from others that one takes: the search is over the rest.
+    """
+    copies, size = same_texts(docs)
+    columns = ("doc", "content", "start", "end")
+    whole = copies.filter(F.col("n_bytes") >= window).select("doc", "content", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
+    docs = docs.join(copies, ["doc", "content"], "left_anti").select("doc", "text", "content")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     groups = written(shared_anchors(docs, window, parts), "suffix-shared")
     found = written(merged(group_runs(docs, groups, window, parts), window, parts), "suffix-found")
-    columns = ("doc", "content", "start", "end")
-    spans = found.filter("key is null").select(*columns)
+    spans = found.filter("key is null").select(*columns).unionByName(whole)
     passed = found.filter("key is not null")
     if passed.isEmpty():
         return spans
@@ -395,7 +426,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     least = singles.groupBy("window").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).filter("_least < _most")
     least = written(least.select(F.col("window").alias("_window"), "_least"), "suffix-least")
     rest = singles.join(least, F.col("window") == F.col("_window")).filter("doc > _least")
-    return spans.unionByName(rest.select("doc", "content", "start", (F.col("start") + window).alias("end")))
+    return spans.unionByName(rest.select("doc", "content", "start", (F.col("last") + window).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:

@@ -136,3 +136,14 @@ def test_every_window_has_its_anchor():
     assert (anchor >= first + n - 1).all() and (anchor + 16 <= first + 50).all()
     values = rng.integers(0, 100, 60)
     assert sliding_least(values, 11).tolist() == [values[i : i + 11].min() for i in range(50)]
+
+
+def test_long_text_of_one_character(spark, docs, monkeypatch):
+    """Places of one key lie close together: they stay one entry, however many they are."""
+    monkeypatch.setattr(suffixes, "SORTED", 700)
+    one, two = "a" * 40_000, "ab" * 20_000
+    rows = [(1, one + "x"), (2, "y" + one), (3, two), (4, two[1:] + "z"), (5, "q" * 49), (6, "q" * 49), (7, "b" + "a" * 49 + "c"), (8, one + "x"), (None, one)]
+    got = {r.doc_id: r.removal for r in suffixes.remove_repeats(docs(rows)).collect()}
+    assert bytes(got[1].kept).decode() == rows[0][1] and bytes(got[2].kept) == b"y" and bytes(got[3].kept).decode() == two
+    assert bytes(got[4].kept) == b"z" and got[5].n_removed == got[6].n_removed == got[7].n_removed == 0
+    assert got[8].n_removed == 40_001 and got[8].n_spans == 1 and got[None].n_removed == 0
