@@ -94,12 +94,27 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple[int, bytes, int]]:
         """(run, key, bytes shared with the key before) in ascending order of keys."""
-        while (key := self.keys[self.winner]) is not None:
-            run = self.winner
-            yield run, key, self.shared[run]
-            self.keys[run], self.shared[run] = next(self.runs[run], (None, 0))
-            at, win = (self.n + run) // 2, run
+        keys, shared, losers, runs, n = self.keys, self.shared, self.losers, self.runs, self.n
+        win = self.winner
+        while (key := keys[win]) is not None:
+            run = win
+            yield run, key, shared[run]
+            key, known = next(runs[run], (None, 0))
+            keys[run], shared[run] = key, known
+            # Up to the root, as in `_play`: the winner so far is `win` with `key` and `known`.
+            at = (n + run) >> 1
             while at:
-                win, self.losers[at] = self._play(win, self.losers[at])
-                at //= 2
-            self.winner = win
+                other = losers[at]
+                if (rival := keys[other]) is not None:
+                    theirs = shared[other]
+                    if key is None or theirs > known:
+                        losers[at], win, key, known = win, other, rival, theirs
+                    elif theirs == known:
+                        h = common(key, rival, known)
+                        if h == len(key) or (h < len(rival) and key[h] < rival[h]):
+                            shared[other] = h
+                        else:
+                            shared[win] = h
+                            losers[at], win, key, known = win, other, rival, theirs
+                at >>= 1
+        self.winner = win

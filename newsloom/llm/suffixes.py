@@ -262,23 +262,35 @@ def group_runs(docs: DataFrame, asked: DataFrame, window: int, parts: int) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, content = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                data = unpacked_bytes(batch.column(1)[i].as_py())
-                chosen = np.unique(unpack(batch.column(3)[i].as_py()))
-                first, n, anchor, _, h = groups_of([data], window)
-                chosen = chosen[chosen < len(first)]
+
+        def found(rows: list[tuple]) -> Iterator[list[tuple]]:
+            """Entries of some documents, in portions that fill the run."""
+            texts = [r[0] for r in rows]
+            first, n, anchor, which, h = groups_of(texts, window)
+            begins = np.searchsorted(which, np.arange(len(rows) + 1))
+            for (data, doc, content, asked), a, b in zip(rows, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                chosen = np.unique(unpack(asked))
+                chosen = a + chosen[chosen < b - a]
                 at = 0
                 while at < len(chosen):
                     some = chosen[at : at + SORTED - len(entries)]
                     at += len(some)
-                    for f, k, a, x in zip(*(v[some].tolist() for v in (first, n, anchor, h)), strict=True):
-                        key = data[a : f + k + window - 1] + data[f:a] + (a - f).to_bytes(2, "big")
-                        entries.append((key, doc, content, f, k, x))
+                    for f, k, x, y in zip(*(v[some].tolist() for v in (first, n, anchor, h)), strict=True):
+                        entries.append((data[x : f + k + window - 1] + data[f:x] + (x - f).to_bytes(2, "big"), doc, content, f, k, y))
                     if len(entries) >= SORTED:
                         yield rows_of(entries)
-                        entries = []
+                        entries.clear()
+
+        for batch in batches:
+            at, columns = 0, [c.to_pylist() for c in batch.columns]
+            while at < batch.num_rows:
+                rows, size = [], 0
+                while at < batch.num_rows and size < BLOCK:
+                    doc, packed, content, asked = (c[at] for c in columns)
+                    rows.append((unpacked_bytes(packed), doc, content, asked))
+                    size += len(rows[-1][0])
+                    at += 1
+                yield from found(rows)
         if entries:
             yield rows_of(entries)
 
