@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import as_column, before, lookback_floor
 
-# Fixed value: rows after which a batch takes no further listing page.
-
 
 def latest(df: DataFrame, column: str = "ts") -> Column:
     """Largest value of a column, as a scalar subquery of the query that uses it."""
@@ -123,6 +121,18 @@ def union_lists(*lists: DataFrame) -> DataFrame:
     return result
 
 
+def numbered_lists(rows: DataFrame, by: str) -> DataFrame:
+    """The rows with the number of their list: one list per value there is, in order, missing values last.
+
+    The values are counted off as a small frame of their own, so the rows are
+    read once, whatever the number of lists.
+    """
+    values = rows.groupBy(F.col(by).alias("_value")).agg(F.lit(1).alias("_one"))
+    place = F.row_number().over(W.partitionBy("_one").orderBy(F.col("_value").asc_nulls_last())) - 1
+    lists = values.select("_value", place.alias("list_no"))
+    return rows.join(lists, F.col(by).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def recapture_due(rows: DataFrame, as_of, days: int = 3, captured: str = "capture_date") -> DataFrame:
     """Articles without a body, captured at least `days` ago."""
     return rows.filter(

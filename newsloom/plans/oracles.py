@@ -312,7 +312,8 @@ def oracles() -> dict[str, str]:
       SELECT page_id, pos, title, link,
              CASE WHEN contains(link, '.cl') OR contains(link, '.com') THEN '##' ELSE '!!' END AS mark,
              contains(link, 'biobio') AS is_biobio
-      FROM hits WHERE pos < 3"""
+      FROM (SELECT *, link[length(host) + 1:] AS address FROM hits JOIN (SELECT page_id, host FROM raw) USING (page_id))
+      WHERE contains('hace ' || (pos + 1) || CASE WHEN md5(address) < '8' THEN ' horas' ELSE ' días' END, 'horas')"""
 
     sql["listing_articles"] = rf"""WITH {_cards()}
       SELECT page_id, pos::INTEGER AS pos, title, link, link || '.png' AS image,
@@ -321,6 +322,12 @@ def oracles() -> dict[str, str]:
              regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1) AS category,
              regexp_extract(url, '^https?://([^/]+)/', 1) AS entity, md5(raw) AS raw_md5
       FROM listing"""
+    sql["site_listings"] = f"""WITH {_cards()}, sites(site, dated) AS (
+        VALUES ('biobiochile', true), ('latercera', true), ('24horas', false))
+      SELECT site, page_id, pos::INTEGER AS pos, title, link,
+             regexp_extract(raw, 'href="([^"]*)"', 1) || '.png' AS image,
+             CASE WHEN dated THEN moment END AS publish_date, false AS bad_date, md5(link) AS hash_id
+      FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(page_id) AS moment FROM listing), sites"""
     sql["page_extract"] = f"""WITH {_pages()} SELECT page_id, title, array_to_string(parts, ' ') AS article_body,
       md5(raw_content) AS raw_md5 FROM page_parts"""
     sql["assemble_body"] = f"""WITH {_pages()}, rows AS (
@@ -348,8 +355,8 @@ def oracles() -> dict[str, str]:
              md5(array_to_string(one.parts, ' ')) AS body_md5, view_count
       FROM page_parts p JOIN one ON one.url = p.url AND one.rn = 1 LEFT JOIN views ON note_id = one.page_id"""
     sql["union_lists"] = f"""WITH {ARTICLES}
-      SELECT article_hash, category, doc_id, (list_position(['es', 'en', 'de', 'fr'], category) - 1)::INTEGER AS list_no
-      FROM articles WHERE category IN ('es', 'en', 'de', 'fr')"""
+      SELECT article_hash, category, doc_id, (dense_rank() OVER (ORDER BY category NULLS LAST) - 1)::INTEGER AS list_no
+      FROM articles"""
 
     cuts = lambda floor: f"""cuts AS (
         SELECT t.entity, t.category, last_date, greatest(coalesce(last_date, {floor}), {floor}) AS cut_date
@@ -465,6 +472,8 @@ def oracles() -> dict[str, str]:
     sql["sample_tenth"] = """SELECT doc_id, category FROM (SELECT doc_id, lang AS category,
         row_number() OVER (ORDER BY md5(doc_id || '-11'), doc_id) AS place, count(*) OVER () AS n FROM documents)
       WHERE place <= n // 10"""
+    sql["driver_rows"] = f"""WITH {ARTICLES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN article_title END AS article_title,
+      publish_date FROM articles ORDER BY doc_id LIMIT 5"""
     sql["head_rows"] = f"""WITH {ARTICLES} SELECT doc_id, article_title, publish_date FROM articles
       ORDER BY doc_id LIMIT 5"""
 
@@ -504,7 +513,26 @@ def oracles() -> dict[str, str]:
         len({words('t')})::INTEGER AS n_words FROM texts)
       SELECT *, n_bullets <= 5 AND n_words <= 100 AS is_valid FROM counted"""
     sql["bullets"] = """SELECT conv_id, turn, unnest(range(len(b)))::INTEGER AS pos, unnest(b) AS bullet
-      FROM (SELECT conv_id, turn, string_split(text, '.') AS b FROM conversations WHERE role = 'assistant')"""
+      FROM (SELECT conv_id, turn, string_split(text, '.') AS b FROM conversations
+            UNION ALL SELECT doc_id, NULL, string_split(text, '.') FROM documents)"""
+    sql["summarize_model"] = f"{folded} " + rows("list_transform(chunks, lambda c: substring(c, 1, 60))").replace("AS chunk", "AS summary")
+    sql["rechunk_model"] = f"""WITH RECURSIVE {ARTICLES},
+      base AS (SELECT doc_id, {greedy(sentences('article_body'))} AS g FROM articles),
+      loop AS (
+        SELECT *, {closed('g')} AS nxt FROM (
+          SELECT *, {greedy('summaries')} AS g FROM (
+            SELECT doc_id, 1 AS round, chunks, list_transform(chunks, lambda c: substring(c, 1, 200)) AS summaries
+            FROM (SELECT doc_id, {closed('g')} AS chunks FROM base) WHERE len(chunks) > 0))
+        UNION ALL
+        SELECT *, {closed('g')} AS nxt FROM (
+          SELECT *, {greedy('summaries')} AS g FROM (
+            SELECT doc_id, round + 1 AS round, nxt AS chunks, list_transform(nxt, lambda c: substring(c, 1, 200)) AS summaries
+            FROM loop WHERE len(nxt) >= 5 AND nxt <> chunks
+              AND length(array_to_string(summaries, '')) < length(array_to_string(chunks, '')))))
+      SELECT doc_id, round::INTEGER AS round, len(chunks)::INTEGER AS n_chunks, md5(array_to_string(chunks, '|')) AS chunks_md5,
+             md5(array_to_string(summaries, '|')) AS summaries_md5,
+             len(nxt) < 5 OR nxt = chunks OR length(array_to_string(summaries, '')) >= length(array_to_string(chunks, '')) AS finished
+      FROM loop"""
 
     toks = f"{PAIRS}, toks AS (SELECT conv_id, turn, {tokens('reference')} AS ref, {tokens('summary')} AS hyp FROM pairs)"
     f1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
@@ -530,6 +558,8 @@ def oracles() -> dict[str, str]:
     sql["rouge_by_chunks"] = _means_query(
         f"SELECT n_chunks::INTEGER AS chunksize, {by} FROM means GROUP BY n_chunks ORDER BY 1"
     )
+    sql["metrics_csv"] = sql["rouge_by_chunks"]
+    sql["rouge_frame"] = _means_query(f"SELECT n_chunks::INTEGER AS chunksize, {rounded} FROM means")
     sql["rouge_gap"] = _means_query(
         """SELECT doc_id, round::INTEGER AS round, n_chunks::INTEGER AS n_chunks,
            round(meanf1_rouge1 - meanf1_rougeL, 6) AS gap FROM means"""
@@ -588,6 +618,20 @@ def oracles() -> dict[str, str]:
       readers AS (SELECT c_custkey AS reader, ['en', 'es', 'fr', 'de'][c_nationkey % 4 + 1] AS category FROM customer)
       SELECT reader, category, rank, article_hash FROM readers JOIN best USING (category) WHERE rank <= 5"""
 
+    sql["stored_pages"] = """SELECT page_id, way, strlen(html)::BIGINT AS size, md5(html) AS html_md5
+      FROM pages, (VALUES ('batch'), ('stream')) w(way)"""
+    sql["sql_functions"] = f"""WITH docs AS (SELECT doc_id, source || '/' || doc_id AS link, {sentences('text')} AS parts FROM documents),
+      folded AS (SELECT doc_id, link, {greedy('parts')} AS g FROM docs),
+      merged AS (SELECT doc_id, link, {closed('g')} AS c FROM folded),
+      rows AS (SELECT doc_id, link, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM merged),
+      {toks.replace('SELECT conv_id, turn,', 'SELECT conv_id, turn, reference, summary,', 2)},
+      hits AS (SELECT *, {overlap('ref', 'hyp')} AS o, {lcs('ref', 'hyp')} AS l FROM toks)
+      SELECT doc_id, md5(link)[:16] AS link_key, sha256(link) AS link_sha, pos, length(chunk)::INTEGER AS n_chars,
+             len({tokens('chunk')})::INTEGER AS n_tokens, NULL::VARCHAR AS metric, NULL::INTEGER AS hits, NULL::DOUBLE AS recall FROM rows
+      UNION ALL
+      SELECT conv_id, md5(reference), sha256(summary), turn::INTEGER, length(summary)::INTEGER, len(hyp)::INTEGER, metric, n::INTEGER,
+             round(n / greatest(len(ref), 1)::DOUBLE, 6)
+      FROM (SELECT *, unnest(['rouge1', 'rougeL']) AS metric, unnest([o, l]) AS n FROM hits)"""
     sql["scalar_hash"] = """SELECT doc_id, sha256(source || '/' || doc_id) AS sha, md5(source || '/' || doc_id) AS md5,
       substring(md5(source || '/' || doc_id), 1, 16) AS md5_16 FROM documents"""
     prompt = f"{_chars(X.PROMPT_RULES)} || 'Artículo: \"' || source || ' ' || text || '\"'"

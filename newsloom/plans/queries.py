@@ -12,6 +12,7 @@ from newsloom.functions import keys as K
 from newsloom.functions import scoring as N
 from newsloom.functions import text as X
 from newsloom.functions.arrays import pos_exploded
+from newsloom.functions import sql as SQL
 from newsloom.functions.rouge import rouge_score
 from newsloom.operators import evaluation as E
 from newsloom.operators import incremental as I
@@ -23,8 +24,8 @@ from newsloom.operators import summarise as M
 from newsloom.operators import words as W
 from newsloom.plans import batch as B
 from newsloom.plans import rounds as L
-from newsloom.session import scratch_path
-from newsloom.sources import files, sinks
+from newsloom.session import scratch_path, written
+from newsloom.sources import files, pages, sinks
 from newsloom.sources.tables import (
     arrivals,
     articles,
@@ -154,19 +155,54 @@ def ad_hoc_sql(spark, sf):
     )
 
 
+@query
+def sql_functions(spark, sf):
+    """Chunks, link keys and scores from SQL text alone."""
+    SQL.register(spark)
+    return spark.sql(
+        """
+        SELECT doc_id, link_md5(concat_ws('/', source, doc_id), 16) AS link_key, link_sha256(concat_ws('/', source, doc_id)) AS link_sha,
+               pos, length(chunk) AS n_chars, size(rouge_tokens(chunk)) AS n_tokens, CAST(NULL AS STRING) AS metric,
+               CAST(NULL AS INT) AS hits, CAST(NULL AS DOUBLE) AS recall
+        FROM {documents}, LATERAL chunk_rows(text)
+        UNION ALL
+        SELECT u.conv_id, link_md5(u.text), link_sha256(a.text), CAST(u.turn AS INT), length(a.text), r.n_sum, r.metric, r.hits, round(r.recall, 6)
+        FROM {conversations} u JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1,
+             LATERAL rouge_rows(u.text, a.text) r
+        WHERE u.role = 'user' AND a.role = 'assistant'
+        """,
+        documents=read_table(spark, sf, "documents"),
+        conversations=read_table(spark, sf, "conversations"),
+    )
+
+
+@query
+def stored_pages(spark, sf):
+    """The pages written as files of a folder, and read back from it at once and as a stream of two deliveries."""
+    folder, table, log = (scratch_path(spark, f"stored-{x}") for x in ("pages", "stream", "log"))
+    rows = read_table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), "html", "page_id")
+    for odd in (0, 1):
+        pages.write_pages(rows.filter(F.abs(F.col("page_id") % 2) == odd), folder)
+        dedupe.append_stream(pages.stream_pages(spark, folder), table, log).awaitTermination()
+    streamed = spark.read.parquet(table).withColumn("way", F.lit("stream"))
+    both = pages.read_pages(spark, folder).withColumn("way", F.lit("batch")).unionByName(streamed)
+    number = F.regexp_extract("name", r"^(-?\d+)\.html$", 1).cast("long")
+    return both.select(number.alias("page_id"), "way", "size", F.md5("html").alias("html_md5"))
+
+
 @query
 def search_hits(spark, sf):
     anchor = r'<a href="([^"]*)">([^<]*)</a>'
     host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     links = F.regexp_extract_all("html", F.lit(anchor), F.lit(1))
     titles = F.regexp_extract_all("html", F.lit(anchor), F.lit(2))
-    # The first hits of a page are some hours old, the later ones some days.
-    unit = lambda i: F.when(i < 3, " horas").otherwise(" días")
-    age = lambda i: F.concat(F.lit("hace "), i + 1, unit(i))
+    # Some hits are hours old and some days, by their address.
+    unit = lambda link: F.when(F.substring(F.md5(link), 1, 1) < "8", " horas").otherwise(" días")
+    age = lambda x, i: F.concat(F.lit("hace "), i + 1, unit(x["link"]))
     hits = F.transform(
         F.arrays_zip(links.alias("link"), titles.alias("title")),
         lambda x, i: F.struct(
-            x["title"].alias("title"), F.concat(host, x["link"]).alias("link"), age(i).alias("date")
+            x["title"].alias("title"), F.concat(host, x["link"]).alias("link"), age(x, i).alias("date")
         ),
     )
     payloads = read_table(spark, sf, "pages").select(
@@ -203,6 +239,31 @@ def listing_articles(spark, sf):
     )
 
 
+#: A link of a page's navigation as a card of each site; $1 is the address, $2 the title, DATE the date.
+_SITE_CARDS = {
+    "biobiochile": (
+        """<article><a href="$1"><div class="article-image" style="background-image: url('$1.png'); x"></div></a>"""
+        """<div class="article-date-hour">DATE</div><a href="$1"><h2 class="x article-title">$2</h2></a></article>"""
+    ),
+    "latercera": """<article><h3 class="t"><a href="$1">$2</a></h3><div class="time">DATE</div><img src="$1.png"></article>""",
+    "24horas": """<article class="col xs-12 xsm-12 x"><a href="$1"><img src="$1.png"><h2>$2</h2></a></article>""",
+}
+
+
+@query
+def site_listings(spark, sf):
+    """The pages rewritten in the markup of each site, and read by its rule."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("page_id * INTERVAL '1' HOUR")
+    item = F.lit(r'(?s)<li><a href="([^"]*)">(.*?)</a></li>')
+    lists = []
+    for site, card in _SITE_CARDS.items():
+        html = F.regexp_replace("html", item, F.replace(F.lit(card), F.lit("DATE"), D.spanish_text(at)))
+        pages = read_table(spark, sf, "pages").select("page_id", html.alias("html"))
+        cards = G.normalise_listing(G.listing_cards(pages, G.SITE_RULES[site]))
+        lists.append(cards.select(F.lit(site).alias("site"), "page_id", "pos", "title", "link", "image", "publish_date", "bad_date", "hash_id"))
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
 @query
 def page_extract(spark, sf):
     parts = G.page_parts(read_table(spark, sf, "pages"))
@@ -308,8 +369,8 @@ def complete_articles(spark, sf):
 
 @query
 def union_lists(spark, sf):
-    rows = articles(spark, sf).select("article_hash", "category", "doc_id")
-    return I.union_lists(*[rows.filter(F.col("category") == c) for c in ("es", "en", "de", "fr")])
+    """The articles as one list for each language there is, and one for those without."""
+    return I.numbered_lists(articles(spark, sf).select("article_hash", "category", "doc_id"), "category")
 
 
 # -- incremental ----------------------------------------------------------
@@ -584,6 +645,17 @@ def head_rows(spark, sf):
     return P.head(articles(spark, sf).select("doc_id", "article_title", "publish_date"), ["doc_id"])
 
 
+@query
+def driver_rows(spark, sf):
+    """The first rows, taken to the driver as records and made a frame again; odd ones lack their title."""
+    first = P.head(articles(spark, sf).select("doc_id", "article_title", "publish_date"), ["doc_id"])
+    records = [r.asDict() for r in first.collect()]
+    for record in records:
+        if record["doc_id"] % 2:
+            del record["article_title"]
+    return files.rows_with_schema(spark, records, first.schema)
+
+
 # -- chunks ---------------------------------------------------------------
 
 
@@ -658,6 +730,29 @@ def summarize_extractive(spark, sf):
     return both.select("doc_id", "pos", "s.central", "s.lead")
 
 
+def _first_characters(n: int):
+    """A stand-in model: the first characters of each text."""
+    return lambda: lambda texts: [t[:n] for t in texts]
+
+
+@query
+def summarize_model(spark, sf):
+    """Summaries of all chunks by a model that is loaded in the tasks."""
+    rows = _parts(spark, sf).select("doc_id", X.greedy_chunks(F.col("parts")).alias("chunks"))
+    # The chunks stay a column of their own: Spark takes no Python function over a lambda.
+    # And the summaries become a table, so that no later step calls the model again.
+    summaries = rows.withColumn("summaries", M.model_summaries(F.col("chunks"), _first_characters(60)))
+    return pos_exploded(written(summaries, "model-summaries"), ["doc_id"], F.col("summaries"), "pos", "summary")
+
+
+@query
+def rechunk_model(spark, sf):
+    """The loop of chunks and summaries with a model, a job for each round."""
+    rows = L.rechunk_with_model(articles(spark, sf), ["doc_id"], _first_characters(200))
+    joined = lambda c: F.md5(F.array_join(c, "|")).alias(f"{c}_md5")
+    return rows.select("doc_id", "round", "n_chunks", joined("chunks"), joined("summaries"), "finished")
+
+
 @query
 def summary_constraints(spark, sf):
     last = F.try_element_at("rounds", F.lit(-1))["summaries"]
@@ -670,8 +765,10 @@ def summary_constraints(spark, sf):
 
 @query
 def bullets(spark, sf):
-    turns = read_table(spark, sf, "conversations").filter("role = 'assistant'")
-    return pos_exploded(turns, ["conv_id", "turn"], X.bullets(F.col("text")), "pos", "bullet")
+    """Of all turns and of all documents; a document is no turn."""
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), "text")
+    return pos_exploded(turns.unionByName(docs), ["conv_id", "turn"], X.bullets(F.col("text")), "pos", "bullet")
 
 
 @query
@@ -706,6 +803,21 @@ def rouge_by_chunks(spark, sf):
     return _rounded(E.means_by_chunks(_means(spark, sf)), [name for name, _, _ in E.MEANS])
 
 
+@query
+def rouge_frame(spark, sf):
+    """The scores of each article and number of chunks."""
+    return _rounded(E.metric_frame(_means(spark, sf)), [name for name, _, _ in E.MEANS])
+
+
+@query
+def metrics_csv(spark, sf):
+    """The scores by number of chunks, written as the metrics file and read back."""
+    path = scratch_path(spark, "metrics")
+    rows = E.means_by_chunks(_means(spark, sf))
+    sinks.write_metrics_csv(rows, path)
+    return _rounded(files.read_metrics_csv(spark, path), [name for name, _, _ in E.MEANS])
+
+
 @query
 def rouge_gap(spark, sf):
     rows = E.score_gap(_means(spark, sf))

@@ -46,6 +46,11 @@ def read_experiment_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.EXPERIMENT).json(path)
 
 
+def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics file: scores by number of chunks."""
+    return spark.read.schema(S.METRIC_FRAME).option("header", True).csv(path)
+
+
 def read_stored_pages(spark: SparkSession, path: str) -> DataFrame:
     """A folder of stored HTML files, one page per file."""
     return spark.read.text(path, wholetext=True).select(
