@@ -156,19 +156,23 @@ def judgement(text: Column, rules: list[Rule]) -> Column:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, text: str, most_rows: int, seed: int) -> DataFrame:
-    """Features and `_bad` of about `most_rows` labelled documents at most.
+    """Features and `_bad` of about `most_rows` labelled documents at most, one row for each id.
 
     Labels are thinned by a hash of the id to the bound, which is what bounds
-    the broadcast: so many ids and no more.
+    the broadcast: so many ids and no more, however often an id has a label. Of
+    several labels of an id the least counts, and of several texts the longest.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
     share = min(1.0, most_rows / max(known.count(), 1))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
     chosen = known.filter(draw < share).select(
         F.col("doc_id").alias("_labelled"), (F.col(label) == 0).cast("long").alias("_bad"), (draw * 3 / share > 2).alias("_prune")
     )
     rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
-    rows = rows.select("_bad", "_prune", statistics(F.col("_text")).alias("_s"))
+    # Copies of an id combine in each task before the few rows are shuffled.
+    longest = F.max(F.struct(F.length("_text").alias("n"), F.col("_text").alias("text"))).alias("_best")
+    rows = rows.groupBy("doc_id", "_bad", "_prune").agg(longest)
+    rows = rows.select("_bad", "_prune", statistics(F.col("_best.text")).alias("_s"))
     return written(rows.select("_bad", "_prune", *[c.alias(k) for k, c in features(F.col("_s")).items()]), "quality-labelled")
 
 
@@ -274,8 +278,11 @@ def judged(
     bad), thinned by a hash of the id. `rule` names the first that holds, null
     for none; `kept` is false where the base test fails or a rule holds. Null
     texts count as empty and fail the base test. Without labels of both kinds
-    there are no rules. Labels for a repeated id count once per pair of rows.
-    Where `docs` has a column of that name, the new one gets underscores in
+    there are no rules. Of several labels of one id the least counts, of several
+    texts the longest. The list has at most `most_rules` (12) rules of at most
+    `most_conditions` (4) conditions, so that it stays readable; a larger bound is
+    an option. Repeated rows and texts of any length are judged each by itself;
+    an empty table gives no rows. Where `docs` has a column of that name, the new one gets underscores in
     front (see `words.fresh`); it is the last column.
     """
     rules = learn_rules(labelled_features(docs, labels, label, text, most_rows, seed), **options)

@@ -11,6 +11,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
@@ -23,6 +24,9 @@ from newsloom.session import scratch_path, written
 
 #: Lines of a record, as ISO 28500 has them.
 VERSION = b"WARC/1.1"
+VERSIONS = ("WARC/1.0", "WARC/1.1")
+#: Characters that stand for themselves in an address, the percent sign with them.
+ADDRESS = "%:/?#[]@!$&'()*+,;=-._~"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 16
 
@@ -41,15 +45,16 @@ def _name(page_id: int | None) -> str:
 
 
 def _page(name: str | None) -> int | None:
-    value = (name or "").strip("<>").rpartition(":")[2]
-    return int(value) if value.lstrip("-").isdigit() else None
+    kind, _, value = (name or "").strip("<>").rpartition(":")
+    return int(value) if kind == "urn:page" and value.removeprefix("-").isdecimal() else None
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One record as a gzip member; a revisit has the HTTP head alone as its block.
 
-    The address is percent-free text of any kind, so it is stored as base64 in
-    a field of its own and white space can't break the header.
+    `WARC-Target-URI` has the address with what no address may hold encoded by
+    percent signs; where that changes it, a field of its own keeps the text as it was.
+    A page without an address has its record's name there.
     """
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to else head + payload
@@ -62,8 +67,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
         ("WARC-Block-Digest", _sha256(block)),
         ("Content-Length", str(len(block))),
     ]
-    if url is not None:
-        fields.append(("X-Target-Base64", base64.b64encode(url.encode()).decode()))
+    own = _name(page_id).strip("<>")
+    target = quote(url, safe=ADDRESS, errors="surrogatepass") if url else own
+    fields.append(("WARC-Target-URI", target))
+    if url is not None and (target != url or target == own):
+        fields.append(("X-Target-Base64", base64.b64encode(url.encode(errors="surrogatepass")).decode()))
     if refers_to:
         fields += [("WARC-Refers-To", refers_to), ("WARC-Profile", PROFILE)]
     lines = b"".join(f"{k}: {v}\r\n".encode() for k, v in fields)
@@ -72,12 +80,28 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
-    if lines[0].encode() != VERSION:
+    lines = head.decode(errors="replace").split("\r\n")
+    if lines[0] not in VERSIONS:
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
+def _differs(digest: str | None, data: bytes) -> bool:
+    """Whether a digest, as hex or base 32, is of an algorithm that is known here and not that of the data."""
+    algorithm, _, value = (digest or "").partition(":")
+    if algorithm.lower() not in ("sha1", "sha256", "md5"):
+        return False
+    own = hashlib.new(algorithm.lower(), data).digest()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
+
+
+def _target(fields: dict[str, str]) -> str | None:
+    if "x-target-base64" in fields:
+        return base64.b64decode(fields["x-target-base64"]).decode(errors="surrogatepass")
+    target = (fields.get("warc-target-uri") or "").strip("<>")
+    return None if target in ("", fields.get("warc-record-id", "").strip("<>")) else target
+
+
 def members(stream) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of each gzip member; the stream is read a block at a time."""
     offset = position = 0
@@ -95,28 +119,35 @@ def members(stream) -> Iterator[tuple[int, bytes]]:
 
 
 def records(stream) -> Iterator[dict]:
-    """The records of an archive in order; a wrong length or digest raises."""
+    """The responses and revisits of an archive in order; a wrong length or digest raises.
+
+    Archives of other writers are read as well: records of other kinds are
+    passed over, digests are optional, and a record whose name is no page's has
+    no page_id. A response's payload digest is its SHA-256, whatever the archive has.
+    """
     for offset, content in members(stream):
         end = content.index(b"\r\n\r\n") + 4
         fields = _fields(content[: end - 4])
         block = content[end : end + int(fields["content-length"])]
         if len(content) != end + len(block) + 4 or content[-4:] != b"\r\n\r\n":
             raise ValueError(f"record at {offset}: content length {fields['content-length']} does not frame it")
-        if _sha256(block) != fields["warc-block-digest"]:
+        if _differs(fields.get("warc-block-digest"), block):
             raise ValueError(f"record at {offset}: block digest differs")
+        if fields["warc-type"] not in ("response", "revisit"):
+            continue
         http, _, payload = block.partition(b"\r\n\r\n")
         revisit = fields["warc-type"] == "revisit"
-        if not revisit and _sha256(payload) != fields["warc-payload-digest"]:
+        if not revisit and _differs(fields.get("warc-payload-digest"), payload):
             raise ValueError(f"record at {offset}: payload digest differs")
-        length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        target = fields.get("x-target-base64")
+        stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+        told = [x.split(b":")[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         yield {
             "offset": offset,
-            "page_id": _page(fields["warc-record-id"]),
-            "url": None if target is None else base64.b64decode(target).decode(),
+            "page_id": _page(fields.get("warc-record-id")),
+            "url": _target(fields),
             "record_type": fields["warc-type"],
-            "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:"),
-            "payload_bytes": length,
+            "payload_digest": stated if revisit else hashlib.sha256(payload).hexdigest(),
+            "payload_bytes": int(told[0]) if revisit and told else len(payload),
             "refers_to": _page(fields.get("warc-refers-to")) if revisit else None,
             "payload": None if revisit else payload,
         }
