@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -37,6 +37,7 @@ def test_query_columns(spark):
         "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op6": "doc_id held_out score predicted",
         "op7": "doc_id n_bytes n_tokens over_limit",
+        "op12": "doc_id n_words n_hit n_items items_sha256 contaminated",
         "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     }
     for start, columns in wanted.items():
@@ -100,3 +101,48 @@ def test_pipeline_decodes(spark, docs):
 def test_fingerprint_text(spark):
     frame = spark.createDataFrame([(-1,), (0,), (255,)], "v long")
     assert [r[0] for r in frame.select(simhash.as_hex(frame["v"])).collect()] == ["f" * 16, "0" * 16, "0" * 14 + "ff"]
+
+
+def odd_table(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns named like those that operators add."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 60_000, n))
+    one, passage, long = prose(120), prose(70), prose(150_000)
+    texts = [
+        (5000, one), (5000, one), (5001, one), (None, prose(100)), (None, prose(100)), (5002, None), (5003, ""), (5004, " \n\t"),
+        (5005, f"{prose(60)} {passage} {prose(50)}"), (5006, f"{prose(55)} {passage} {prose(65)}"), (5007, long), (5008, "few words"), (None, None),
+    ]
+    rows = [(k, t, None if i % 3 else "en", None if i % 4 == 3 else "s", len(t or ""), i, "x", [i], i, "c", "t") for i, (k, t) in enumerate(texts)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, judgement int, removal string, encoding array<int>, _doc int, _content string, _text string"
+    return spark.createDataFrame(rows, kind), texts, passage
+
+
+def test_pipeline_of_odd_rows(spark):
+    docs, texts, passage = odd_table(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    # Base test: ten words or more. Nothing else is known of these ids.
+    want = sorted((str(k), t) for k, t in texts if t and len(t.split()) >= 10)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+    single = stages["near_duplicates"](spark, kept, FOLDER)
+    assert single.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in single.collect()) == sorted(set(want) - {("5001", texts[0][1])})
+    clean = stages["repeated_passages"](spark, single, FOLDER)
+    got = {r["doc_id"]: r["text"] for r in clean.collect() if r["doc_id"] is not None}
+    assert clean.columns == docs.columns and clean.count() == single.count()
+    assert passage in got[5005] and passage not in got[5006] and got[5007] == dict(texts)[5007]
+    mixed = stages["source_mix"](spark, clean, FOLDER)
+    assert mixed.columns == docs.columns and 0 < mixed.count() <= 3 * clean.count()
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    last = stages["encode"](spark, clean, FOLDER).collect()
+    assert {r["doc_id"]: r["ids"] for r in last if r["doc_id"] is not None} == {k: model.encode(t) for k, t in got.items()}
+
+
+def test_pipeline_of_an_empty_table(spark):
+    docs = odd_table(spark)[0].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        assert out.collect() == [] and (name == "encode" or out.columns == docs.columns), name
