@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,23 +65,38 @@ def content_digest(text: Column) -> Column:
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     """The stored counts; none where nothing has been stored yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(CACHE).parquet(cache) if exists else spark.createDataFrame([], CACHE)
+    try:
+        return spark.read.schema(CACHE).parquet(cache)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
 
 
-def encode_misses(docs: DataFrame, cache: str, model: str, text: str = "text", batch_chars: int = 1 << 20) -> None:
-    """Append to the cache the counts of distinct texts that it lacks for this tokenizer.
+def stored_counts(docs: DataFrame, cache: str, version: str, text: str = "text") -> DataFrame:
+    """The entries of the cache for the texts of `docs` and this tokenizer, one for each digest.
+
+    The cache is read once and met with the digests of the documents, so that
+    only what they need is shuffled on, grouped and kept.
+    """
+    needed = docs.select(content_digest(F.col(text)).alias("content_digest")).distinct()
+    stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer_digest") == version)
+    found = stored.join(needed, "content_digest", "left_semi").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return written(found, "stored-counts")
+
+
+def encode_misses(docs: DataFrame, stored: DataFrame, cache: str, model: str, text: str = "text", batch_chars: int = 1 << 20) -> DataFrame:
+    """The counts of distinct texts that `stored` lacks, appended to the cache too.
 
     Equal texts meet once: each task keeps one text per digest before the
     shuffle, so a text that a third of all rows share is one row per task. The
-    cache joins on the same key, with no second shuffle of texts. Texts are
-    then encoded in calls of about `batch_chars` characters.
+    stored digests join on the same key, with no second shuffle of texts. Texts
+    are then encoded in calls of about `batch_chars` characters.
     """
     version = tokenizer_digest(model)
-    stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer_digest") == version).select("content_digest")
     rows = docs.select(content_digest(F.col(text)).alias("content_digest"), normalised(F.col(text)).alias("text"))
-    misses = rows.groupBy("content_digest").agg(F.any_value("text").alias("text")).join(stored, "content_digest", "left_anti")
+    misses = rows.groupBy("content_digest").agg(F.any_value("text").alias("text"))
+    misses = misses.join(stored.select("content_digest"), "content_digest", "left_anti")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = encoder(model)
@@ -101,28 +117,25 @@ def encode_misses(docs: DataFrame, cache: str, model: str, text: str = "text", b
                 ["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
-    misses.select("content_digest", "text").mapInArrow(count, CACHE).write.mode("append").parquet(cache)
+    new = written(misses.select("content_digest", "text").mapInArrow(count, CACHE), "new-counts")
+    new.write.mode("append").parquet(cache)
+    return new.select("content_digest", "n_tokens")
 
 
 def token_counts(docs: DataFrame, cache: str, model: str, text: str = "text") -> DataFrame:
     """All columns of `docs` but the text, with `n_bytes` (UTF-8) and `n_tokens`.
 
-    Misses are encoded first, then counts come from the cache alone. Null
+    Counts are those stored for the texts of `docs` and, appended to the cache,
+    those of the misses; other entries of the cache are not carried along. Null
     texts count as empty, repeated rows each keep their row, an empty table
-    gives no rows. A task that is repeated may store a count twice: equal
+    gives no rows. Two runs at a time may store a count twice: equal
     entries are reduced as the cache is read. Columns named like those of the
     cache are kept as they are.
     """
-    encode_misses(docs, cache, model, text)
-    version = tokenizer_digest(model)
+    stored = stored_counts(docs, cache, tokenizer_digest(model), text)
+    counts = stored.unionByName(encode_misses(docs, stored, cache, model, text))
     digest, key, n = (fresh(docs, x) for x in ("_digest", "_key", "_n_tokens"))
-    counts = written(
-        read_cache(docs.sparkSession, cache)
-        .filter(F.col("tokenizer_digest") == version)
-        .groupBy(F.col("content_digest").alias(key))
-        .agg(F.max("n_tokens").alias(n)),
-        "token-counts",
-    )
+    counts = counts.select(F.col("content_digest").alias(key), F.col("n_tokens").alias(n))
     kept = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_tokens")]
     rows = docs.select(
         *kept, F.octet_length(normalised(F.col(text))).cast("long").alias("n_bytes"), content_digest(F.col(text)).alias(digest)

@@ -84,6 +84,28 @@ def test_token_counts(spark, docs, name):
     assert spark.read.parquet(cache).count() == len({t or "" for t in TEXTS})
 
 
+def test_counts_are_those_of_the_libraries(spark, docs):
+    import tokenizers
+
+    pieces_model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL))
+    fast = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    slow = {MODEL: lambda t: len(pieces_model.encode(t)), "byte_bpe_50k.json": lambda t: len(fast.encode(t, add_special_tokens=False).ids)}
+    for name, count in slow.items():
+        out = token_counts.token_counts(docs(list(enumerate(TEXTS))), scratch_path(spark, "cache"), tokenizer_path(name)).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: count(t or "") for i, t in enumerate(TEXTS)}
+
+
+def test_only_needed_entries_leave_the_cache(spark, docs):
+    path, cache = tokenizer_path(MODEL), scratch_path(spark, "cache")
+    token_counts.token_counts(docs([(i, f"text {i}") for i in range(500)]), cache, path).collect()
+    spark.read.parquet(cache).filter("n_tokens > 0").limit(100).write.mode("append").parquet(cache)  # stored twice
+    few = docs([(1, "text 1"), (2, "text 2"), (3, "text 2"), (4, "unseen")])
+    stored = token_counts.stored_counts(few, cache, token_counts.tokenizer_digest(path))
+    assert stored.count() == 2
+    assert token_counts.encode_misses(few, stored, cache, path).count() == 1
+    assert token_counts.token_counts(few, cache, path).count() == 4
+
+
 def test_cache_is_used_and_extended(spark, docs):
     path, cache = tokenizer_path(MODEL), scratch_path(spark, "cache")
     token_counts.token_counts(docs([(1, "a b"), (2, "c d")]), cache, path).collect()
