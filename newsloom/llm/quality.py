@@ -189,9 +189,7 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda t: t < value))
 
 
-def learn_rules(
-    rows: DataFrame, n_cuts: int = 32, most_conditions: int = 4, most_rules: int = 12, least_precision: float = 0.95
-) -> list[Rule]:
+def learn_rules(rows: DataFrame, n_cuts: int = 32, least_precision: float = 0.95) -> list[Rule]:
     """Rules for the rows with `_bad` = 1, in the order they were found.
 
     Two thirds of the rows grow a rule: the condition with the highest
@@ -199,35 +197,35 @@ def learn_rules(
     is left or nothing is gained. The other third (`_prune`) cuts it back to
     the start that is worth most there. A rule is taken if at least
     `least_precision` of the pruning rows it covers are bad; covered rows are
-    then set aside. Each step groups the labelled rows and brings at most
-    features x bins counts to the driver.
+    then set aside, and covering ends with the first rule that is not taken. A
+    rule covers a bad pruning row at least, so their number bounds the list. Each
+    step groups the labelled rows and brings at most features x bins counts to the driver.
     """
     names = [c for c in rows.columns if not c.startswith("_")]
     cuts = thresholds_of(rows, names, n_cuts)
     bins = [bin_of(F.col(c), cuts[c]).alias(c) for c in names]
-    binned = written(rows.select("*", F.array(*bins).alias("_bins")).coalesce(8), "quality-bins")
+    binned = written(rows.select("*", F.array(*bins).alias("_bins")), "quality-bins")
     values = {c: F.col(c) for c in names}
     left, rules = binned, []
-    while len(rules) < most_rules:
-        rule = grow(left.filter(~F.col("_prune")), names, cuts, values, most_conditions)
+    while True:
+        rule = grow(left.filter(~F.col("_prune")), names, cuts, values)
         rule = prune(left.filter("_prune"), rule, values, least_precision)
         if not rule:
-            break
+            return rules
         rules.append(rule)
         left = left.filter(~holds(rule, values))
-    return rules
 
 
-def grow(rows: DataFrame, names: list[str], cuts: dict, values: dict[str, Column], most: int) -> Rule:
+def grow(rows: DataFrame, names: list[str], cuts: dict, values: dict[str, Column]) -> Rule:
+    """Conditions as long as one gains: each raises the share of bad rows, so each leaves out a good one."""
     rule: Rule = ()
-    while len(rule) < most:
+    while True:
         pairs = rows.filter(holds(rule, values)).select("_bad", F.posexplode("_bins").alias("f", "b"))
         counts = pairs.groupBy("f", "b").agg(F.sum("_bad").alias("p"), F.sum(1 - F.col("_bad")).alias("n")).collect()
         best = best_condition(counts, names, cuts)
         if best is None:
-            break
+            return rule
         rule += (best,)
-    return rule
 
 
 def best_condition(counts: list, names: list[str], cuts: dict) -> Condition | None:
@@ -279,10 +277,9 @@ def judged(
     for none; `kept` is false where the base test fails or a rule holds. Null
     texts count as empty and fail the base test. Without labels of both kinds
     there are no rules. Of several labels of one id the least counts, of several
-    texts the longest. The list has at most `most_rules` (12) rules of at most
-    `most_conditions` (4) conditions, so that it stays readable; a larger bound is
-    an option. Repeated rows and texts of any length are judged each by itself;
-    an empty table gives no rows. Where `docs` has a column of that name, the new one gets underscores in
+    texts the longest. The list ends by gain and precision alone. Repeated rows
+    and texts of any length are judged each by itself; an empty table gives no
+    rows. Where `docs` has a column of that name, the new one gets underscores in
     front (see `words.fresh`); it is the last column.
     """
     rules = learn_rules(labelled_features(docs, labels, label, text, most_rows, seed), **options)
