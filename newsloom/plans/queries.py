@@ -150,7 +150,7 @@ def ad_hoc_sql(spark, sf):
     return files.run_sql(
         spark,
         "SELECT category, source_entity, max(publish_date) AS last_date, count(*) AS n "
-        "FROM article GROUP BY category, source_entity",
+        "FROM {article} GROUP BY category, source_entity",
         article=articles(spark, sf),
     )
 

@@ -95,11 +95,12 @@ def rows_with_schema(spark: SparkSession, rows: list[dict], schema: T.StructType
     )
 
 
-def run_sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
-    """A SQL text over the given frames. Errors are raised, not returned."""
-    for name, frame in views.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(text)
+def run_sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """A SQL text over the given frames, which it names as `{name}`.
+
+    The session's own tables and views can be named too and stay as they are. Errors are raised, not returned.
+    """
+    return spark.sql(text, **frames)
 
 
 def view_count(payload: Column) -> Column:

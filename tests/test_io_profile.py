@@ -59,9 +59,19 @@ def test_metrics_and_reset(spark, rows, tmp_path):
 
 
 def test_sql_errors_are_raised(spark, rows):
-    assert files.run_sql(spark, "SELECT count(*) AS n FROM t", t=rows).first().n == 3
+    assert files.run_sql(spark, "SELECT count(*) AS n FROM {t}", t=rows).first().n == 3
     with pytest.raises(Exception):
-        files.run_sql(spark, "SELECT missing FROM t", t=rows).collect()
+        files.run_sql(spark, "SELECT missing FROM {t}", t=rows).collect()
+
+
+def test_sql_leaves_the_views_of_the_session(spark, rows):
+    spark.range(7).createOrReplaceTempView("own_view")
+    try:
+        both = files.run_sql(spark, "SELECT (SELECT count(*) FROM {own_view}) AS a, (SELECT count(*) FROM own_view) AS b", own_view=rows)
+        assert both.first() == (3, 7)
+        assert spark.table("own_view").count() == 7
+    finally:
+        spark.catalog.dropTempView("own_view")
 
 
 def test_shared_dir_follows_the_session(spark):
