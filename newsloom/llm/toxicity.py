@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import scratch_path
+
 
 #: Odd, so it has an inverse; powers of both give the hash of any run of bytes from one running sum.
 BASE = 0x9E3779B97F4A7C15
@@ -161,6 +163,26 @@ class Classifier:
         p = np.clip(p, 1e-7, 1 - 1e-7)
         return float(-(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).mean())
 
+    def packed(self, state: dict) -> np.ndarray:
+        """All weights, and behind them the sums of their squared gradients, in one row of numbers."""
+        weights = [*self.tables, *self.filters, *self.bias, self.out, np.array([self.rest])]
+        names = [f"table{t}" for t in range(2)] + [f"{k}{j}" for k in ("filters", "bias") for j in range(len(WIDTHS))] + ["out", "rest"]
+        sums = [np.broadcast_to(state.get(n, 1e-8), w.shape) for n, w in zip(names, weights, strict=True)]
+        return np.concatenate([np.ravel(x) for x in (*weights, *sums)]).astype(np.float32)
+
+    def unpacked(self, row: np.ndarray) -> dict:
+        """Takes the weights of a packed row, and gives its sums as a state."""
+        weights, at = [*self.tables, *self.filters, *self.bias, self.out], 0
+        for w in weights:
+            w[...] = row[at : at + w.size].reshape(w.shape)
+            at += w.size
+        self.rest, at = float(row[at]), at + 1
+        state, names = {}, [f"table{t}" for t in range(2)] + [f"{k}{j}" for k in ("filters", "bias") for j in range(len(WIDTHS))] + ["out"]
+        for n, w in zip(names, weights, strict=True):
+            state[n] = row[at : at + w.size].reshape(w.shape).copy()
+            at += w.size
+        return state | {"rest": float(row[at])}
+
     @staticmethod
     def _update(name: str, value: np.ndarray, grad: np.ndarray, state: dict, rate: float) -> None:
         sums = state.setdefault(name, np.full_like(value, 1e-8))
@@ -231,25 +253,27 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, most_chars: int, seed: int) -> DataFrame:
-    """Word hashes of at most about `most_rows` labelled documents of about `most_chars` characters together.
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, most_rows: int | None = None, most_chars: int | None = None, seed: int = 6
+) -> DataFrame:
+    """Word hashes of all labelled documents that are not held out.
 
-    Documents are chosen by a hash of the id, and hashed in tasks. An id is one
-    row, however often it stands in either table: it has the largest of its
-    labels and the longest of its texts. The share to draw comes from the rows
-    and characters of these labelled documents, so both bounds hold for what
-    reaches the driver; the first bounds the broadcast of the chosen ids too.
+    An id is one row, however often it stands in either table: it has the
+    largest of its labels and the longest of its texts. With bounds, which `toxicity`
+    does not set, documents are drawn by a hash of the id, about as many as keep within both.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    learned = lambda key: key.isNotNull() & ~F.coalesce(held_out(key), F.lit(True))
+    known = labels.filter(F.col(label).isNotNull() & learned(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max(label).cast("int").alias("_label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    lengths = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    n, chars = lengths.join(known, F.col("doc_id") == F.col("_labelled")).agg(F.count("*"), F.sum("n")).first()
-    share = min(1.0, most_rows / max(n, 1), most_chars / max(chars or 0, 1))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_labelled"), 11) / F.lit(float(1 << 53))
-    chosen = known.filter(draw < share)
-    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
-    # Copies of an id combine in each task before the few rows are shuffled.
+    rows = rows.filter(learned(F.col("doc_id")))  # before the texts are moved
+    if most_rows is not None and most_chars is not None:
+        lengths = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+        n, chars = lengths.join(known, F.col("doc_id") == F.col("_labelled")).agg(F.count("*"), F.sum("n")).first()
+        share = min(1.0, most_rows / max(n, 1), most_chars / max(chars or 0, 1))
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_labelled"), 11) / F.lit(float(1 << 53))
+        known = known.filter(draw < share)
+    rows = rows.join(known, F.col("doc_id") == F.col("_labelled"))
     longest = F.max(F.struct(F.length("text").alias("n"), "text", "lang")).alias("best")
     rows = rows.groupBy("doc_id", "_label").agg(longest).select("doc_id", "best.lang", "_label", "best.text")
 
@@ -261,31 +285,138 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int
     return rows.mapInArrow(run, "doc_id long, lang string, label int, words binary")
 
 
+#: Weights to a row, when the tasks' models are brought together.
+_BLOCK = 4096
+
+
+def fit(rows: DataFrame, tasks: int, at_score: float, seed: int, rounds: int = 4, passes: int = 2) -> tuple[Classifier, dict[str, float]]:
+    """The same as `train`, from a table of training rows that one task can't hold.
+
+    Each round every task goes over its rows from the common weights, and the
+    weights take the mean of the tasks' changes; a weight that only some tasks
+    changed takes the mean of these, so rare words count in full. What reaches
+    the driver is one model a round and a count of scores. A fifth of the
+    ids is left out of training and calibrates, on a grid of 1/1024 logits.
+    """
+    n, positive, negative = rows.agg(F.count("*"), F.count(F.when(F.col("label") > 0, 1)), F.count(F.when(F.col("label") <= 0, 1))).first()
+    if not positive or not negative:
+        return train([], [], []) if not n else train([np.zeros(0, np.uint64)], [int(positive > 0)], [None])
+    weight = float(min(10.0, negative / positive)) ** 0.5
+    aside = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(5)) == 0
+    kept, left_out = rows.filter(~aside).select("doc_id", "label", "words").coalesce(tasks), rows.filter(aside)
+    model = Classifier(seed=seed)
+    common = model.packed({})
+    for number in range(rounds):
+        rate, before = 0.05 if number < rounds // 2 else 0.02, common
+
+        def changes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Classifier(seed=seed)
+            state, rng = mine.unpacked(before), np.random.default_rng(seed + number)  # noqa: B023
+            # A task's share of the rows, in the order of their ids, so that a rerun finds the same model.
+            held = sorted(((i, y, w) for b in batches for i, y, w in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+            words = [np.frombuffer(w, np.uint64) for _, _, w in held]
+            y, counts = np.array([y for _, y, _ in held], np.float32), np.array([len(w) for w in words], np.int64)
+            order = np.arange(len(held))
+            for _ in range(passes):
+                rng.shuffle(order)
+                for at in range(0, len(order), 32):
+                    some = order[at : at + 32]
+                    each = np.where(y[some] > 0, weight, 1.0).astype(np.float32)
+                    mine.step(np.concatenate([words[i] for i in some]), counts[some], y[some], each, state, rate)  # noqa: B023
+            change = mine.packed(state) - before  # noqa: B023
+            blocks = [b for b in range(-(-len(change) // _BLOCK)) if change[b * _BLOCK : (b + 1) * _BLOCK].any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int32()), pa.array([change[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "change"]
+            )
+
+        moved = kept.mapInArrow(changes, "block int, change binary").groupBy("block").applyInArrow(_mean_change, "block int, change binary")
+        common = before.copy()
+        for b, change in zip(*moved.toArrow().to_pydict().values(), strict=True):
+            common[b * _BLOCK : (b + 1) * _BLOCK] += np.frombuffer(change, np.float32)
+        np.maximum(common[len(common) // 2 :], 1e-8, out=common[len(common) // 2 :])
+    model.unpacked(common)
+    found = _score_counts(left_out, model)
+    if not (0 < sum(r["hits"] for r in found) < sum(r["n"] for r in found)):
+        found = _score_counts(rows, model)  # too few labels to leave any out
+    model.shift = float(np.log(at_score / (1 - at_score)) - _best_cut(found))
+    thresholds = {}
+    for language in sorted({r["lang"] for r in found} - {None}):
+        mine = [r for r in found if r["lang"] == language]
+        if 0 < sum(r["hits"] for r in mine) < sum(r["n"] for r in mine):
+            thresholds[language] = float(1 / (1 + np.exp(-np.clip(_best_cut(mine) + model.shift, -40, 40))))
+    return model, thresholds
+
+
+def _mean_change(rows: pa.Table) -> pa.Table:
+    """Of each weight of a block the mean change by the tasks that changed it."""
+    changes = np.stack([np.frombuffer(c, np.float32) for c in sorted(rows.column("change").to_pylist())]).astype(np.float64)
+    mean = changes.sum(axis=0) / np.maximum((changes != 0).sum(axis=0), 1)
+    return pa.table({"block": rows.column("block")[:1], "change": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _score_counts(rows: DataFrame, model: Classifier) -> list[dict]:
+    """Rows and toxic rows of each language and logit, in steps of 1/1024."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
+            parts = [words[at : at + 64] for at in range(0, len(words), 64)]
+            z = [model.logits(np.concatenate(p), np.array([len(w) for w in p], np.int64)) for p in parts]
+            step = np.rint(np.clip(np.concatenate([np.zeros(0), *z]), -1000, 1000) * 1024).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(step)], ["lang", "label", "step"])
+
+    scored = rows.select("lang", "label", "words").mapInArrow(run, "lang string, label int, step long")
+    counts = scored.groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("hits"))
+    return counts.toArrow().to_pylist()
+
+
+def _best_cut(counts: list[dict]) -> float:
+    """`best_threshold` over counted logits; there are rows with either label."""
+    steps, where = np.unique([-r["step"] for r in counts], return_inverse=True)
+    n, hits = (np.bincount(where, weights=[r[c] for r in counts]).cumsum() for c in ("n", "hits"))
+    f1 = 2 * hits / (n + hits[-1])
+    z = -steps / 1024
+    gaps = np.append(z[:-1] - z[1:], 1.0)
+    top = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = top[np.argmax(gaps[top])]
+    return float(z[k] - gaps[k] / 2)
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
     at_score: float = 0.7,
-    most_rows: int = 12_000,
-    most_chars: int = 30_000_000,
+    task_rows: int = 12_000,
+    task_chars: int = 30_000_000,
     seed: int = 6,
     **options,
 ) -> DataFrame:
     """`doc_id`, `held_out`, `score`, `predicted` and `flagged` of every document.
 
-    The score depends on the text alone. The classifier is trained on the
-    driver on a sample of labelled documents within the two bounds, none of
-    which is `held_out`. `predicted` is 1 from `at_score` up; `flagged` uses
-    the threshold calibrated for the document's `lang`, where there is one. A
-    null text counts as empty and gets the score of a text without words; a
-    null id is not held out. Labels of one id count once. Other columns are not
-    read; an empty table gives no rows. Whole texts are scored, a batch at a
-    time.
+    The score depends on the text alone. The classifier learns from all labelled
+    documents that are not `held_out`: at once where they are no more than `task_rows`
+    and `task_chars`, and else in tasks of about so many each (see `fit`).
+    `predicted` is 1 from `at_score` up; `flagged` uses the threshold calibrated
+    for the document's `lang`, where there is one. A null text counts as empty
+    and gets the score of a text without words; a null id is not held out.
+    Labels of one id count once. Other columns are not read; an empty table
+    gives no rows. Whole texts are scored, a batch at a time.
     """
-    sample = training_rows(docs, labels, label, most_rows, most_chars, seed).toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["doc_id"], r["label"], r["words"]))
-    words = [np.frombuffer(r["words"], np.uint64) for r in sample]
-    model, thresholds = train(words, [r["label"] for r in sample], [r["lang"] for r in sample], at_score, seed=seed, **options)
+    spark = docs.sparkSession
+    path = scratch_path(spark, "toxicity-training")
+    learned = training_rows(docs, labels, label, seed=seed)
+    learned.write.option("compression", "zstd").parquet(path)
+    learned = spark.read.schema(learned.schema).parquet(path)
+    n, words = learned.agg(F.count("*"), F.sum(F.length("words"))).first()
+    # A word's hash is eight bytes, about as long as the word and a blank.
+    tasks = max(1, -(-n // task_rows), -(-(words or 0) // task_chars))
+    if tasks > 1:
+        model, thresholds = fit(learned, tasks, at_score, seed)
+    else:
+        rows = sorted(learned.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["label"], r["words"]))
+        hashes = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        model, thresholds = train(hashes, [r["label"] for r in rows], [r["lang"] for r in rows], at_score, seed=seed, **options)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

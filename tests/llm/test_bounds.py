@@ -58,3 +58,24 @@ def test_target_addresses(url):
     head = gzip.decompress(record).split(b"\r\n\r\n")[0].decode("ascii")
     target = next(x for x in head.split("\r\n") if x.startswith("WARC-Target-URI: "))
     assert " " not in target.removeprefix("WARC-Target-URI: ") and [r["url"] for r in warc.records(io.BytesIO(record))] == [url]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More labelled rows than one task takes: a word that few of them have is learned, and all tasks' rows count."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 500}" for k in range(20)) + (" scum" if i % 6 == 0 else " vile" if i % 50 == 1 else ""), "de" if i % 2 else "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0 or i % 50 == 1)) for i in range(3000)], "doc_id long, toxic int").repartition(4)
+    assert toxicity.training_rows(docs, labels, "toxic").count() == sum(held(i) for i in range(3000))
+    found = toxicity.toxicity(docs, labels, task_rows=600).collect()
+    tested = [r for r in found if r["held_out"]]
+    right = [r["predicted"] == int(r["doc_id"] % 6 == 0 or r["doc_id"] % 50 == 1) for r in tested]
+    assert len(found) == 3000 and sum(right) / len(right) > 0.97
+    again = toxicity.toxicity(docs, labels, task_rows=600)
+    assert sorted((r["doc_id"], round(r["score"], 4)) for r in again.collect()) == sorted((r["doc_id"], round(r["score"], 4)) for r in found)
+
+
+def test_toxicity_of_one_label_over_several_tasks(spark):
+    docs = spark.createDataFrame([(i, f"a {i}" if i % 3 else None, None) for i in range(60)], "doc_id long, text string, lang string")
+    for label in (0, 1):
+        labels = docs.selectExpr("doc_id", f"{label} AS toxic")
+        assert {r["predicted"] for r in toxicity.toxicity(docs, labels, task_rows=5).collect()} == {label}
