@@ -43,28 +43,35 @@ def drop_seen(stream: DataFrame, ts: str, key: str = "article_hash", hours: int
 class Absence(StatefulProcessor):
     """Lets a row pass whose key was not seen for some hours before it, in event time.
 
-    The state of a key is the latest moment it was seen at. A timer at the end of
-    the window clears it, so the store holds the keys of the window only.
+    The state of a key is the latest moment it was seen at. A key has one timer, set when
+    it comes into the store: it clears a key that stayed away, and waits for the end of the
+    window of one that was seen since. So the store holds the keys of the window only, and a
+    micro-batch costs a key one read and one write, and no timer. Every call to the store is a
+    message between Python and the JVM, which costs more than the rows of a key.
     """
 
     def __init__(self, columns: list[str], order: list[str], hours: int):
         self.columns, self.order, self.window = columns, order, hours * 3_600_000_000
+        self.passed = Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self.seen.get()[0] if self.seen.exists() else None
-        before = last
-        for row in sorted(rows, key=lambda r: (r["_us"], *(r[c] for c in self.order))):
-            if last is None or row["_us"] - last >= self.window:
-                yield Row(**{c: row[c] for c in self.columns})
-            last = row["_us"] if last is None else max(last, row["_us"])
+        stored = self.seen.get()
+        last = before = stored[0] if stored else None
+        arrived = list(rows)
+        if len(arrived) > 1:
+            arrived.sort(key=lambda r: (r["_us"], *(r[c] for c in self.order)))
+        for row in arrived:
+            us = row["_us"]
+            if last is None or us - last >= self.window:
+                yield self.passed(*(row[c] for c in self.columns))
+            last = us if last is None else max(last, us)
         if last != before:
-            if before is not None:
-                self.handle.deleteTimer(self.end(before))
             self.seen.update((last,))
+        if before is None:
             self.handle.registerTimer(self.end(last))
 
     def end(self, last: int) -> int:
@@ -72,7 +79,12 @@ class Absence(StatefulProcessor):
         return -(-(last + self.window) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        stored = self.seen.get()
+        end = self.end(stored[0]) if stored else 0
+        if end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        elif stored:
+            self.seen.clear()
         yield from ()
 
     def close(self) -> None:
