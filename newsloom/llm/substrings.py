@@ -27,6 +27,10 @@ from newsloom.session import written
 GROUPS = "doc long, content long, one long, two_left long, two_right long, whole long, first long, n long"
 
 
+#: Words hashed together, and characters put together, by a task: each costs some tens of bytes more.
+BLOCK_WORDS, BLOCK_CHARS = 1 << 15, 1 << 20
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, as UTF-8."""
     return (text or "").encode(errors="surrogatepass").split()
@@ -54,7 +58,7 @@ def window_groups(docs: DataFrame, key: str, text: str, window: int) -> DataFram
             at = 0
             while at < batch.num_rows:
                 words, lengths, from_row = [], [], at
-                while at < batch.num_rows and (not lengths or len(words) < 200_000):
+                while at < batch.num_rows and (not lengths or len(words) < BLOCK_WORDS):
                     mine = split_words(batch.column(1)[at].as_py())
                     words += mine
                     lengths.append(len(mine))
@@ -200,7 +204,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             while at < batch.num_rows:
                 part, size = at, 0
                 texts, n_words, n_removed = [], [], []
-                while at < batch.num_rows and size < 1 << 23:
+                while at < batch.num_rows and size < BLOCK_CHARS:
                     value = batch.column(place)[at].as_py()
                     words = split_words(value)
                     found = batch.column(len(kinds) - 1)[at]

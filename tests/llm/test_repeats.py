@@ -147,3 +147,16 @@ def test_long_text_of_one_character(spark, docs, monkeypatch):
     assert bytes(got[1].kept).decode() == rows[0][1] and bytes(got[2].kept) == b"y" and bytes(got[3].kept).decode() == two
     assert bytes(got[4].kept) == b"z" and got[5].n_removed == got[6].n_removed == got[7].n_removed == 0
     assert got[8].n_removed == 40_001 and got[8].n_spans == 1 and got[None].n_removed == 0
+
+
+def test_passages_across_blocks_of_words(spark):
+    """More words in one task than it hashes together: a passage is found in whichever blocks its documents fall."""
+    from newsloom.llm import substrings
+
+    passage = [f"p{k}" for k in range(60)]
+    own = lambda i: [f"d{i}w{k}" for k in range(1500)]
+    rows = [(i, " ".join(own(i)[:700] + (passage if i in (3, 50, 59) else []) + own(i)[700:])) for i in range(60)]
+    assert sum(len(t.split()) for _, t in rows) > 2 * substrings.BLOCK_WORDS
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["removal"]["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert {i for i, n in got.items() if n} == {50, 59} and got[50] == got[59] == 60
